@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontam, langid, packing, quality, secret_scan, token_store
+from . import chat, common, decontam, langid, near_dedup, packing, quality, secret_scan, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     tricky = "\\### Assistant: </turn> ok"
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_decontamination": op3_decontamination,
     "op5_quality": op5_quality,
+    "op6_near_dedup": op6_near_dedup,
     "op7_chat": op7_chat,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
