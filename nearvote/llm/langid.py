@@ -169,3 +169,24 @@ def identify(docs: DataFrame, **model) -> DataFrame:
     names, prototypes = learn(docs.filter(~held_out(docs["doc_id"])), **model)
     model.pop("dims", None)
     return predict(docs, names, prototypes, **model)
+
+
+def keep(docs: DataFrame, names: list[str], prototypes: np.ndarray, least: float, alphabet: int = 512, n: int = 3, seed: int = 7, group: int = 64) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and a cosine of ``least`` or more with some prototype (any text
+    with a letter, where nothing was learned); all columns stay."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        hd = letters(alphabet, n, prototypes.shape[1], seed) if names else None
+        for batch in batches:
+            for part in common.pieces(batch):
+                texts, good = common.texts_of(part), []
+                for at in range(0, len(texts), group):
+                    some = texts[at : at + group]
+                    lettered = [any(map(str.isalpha, t)) for t in some]
+                    best = (scaled(hd.bundle(some)[0]) @ prototypes.T).max(axis=1) if hd else np.ones(len(some))
+                    good += [a and bool(b >= least) for a, b in zip(lettered, best)]
+                yield part.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
