@@ -8,8 +8,8 @@ points at which a text is cut here, so the ids of a text are the ids of its chun
   space; and around a line feed that stands alone, which is a pre-token of its own.
 * word level (white space removed): a cut at any space or line feed.
 
-Any other pipeline is encoded text by text. New chunks are encoded many at a time, parted by a character that is
-a pre-token of its own with one id.
+Any other pipeline is encoded text by text. A word of Latin letters alone is one pre-token and goes straight to the
+merges; other new chunks are encoded by the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -18,13 +18,23 @@ import json
 import re
 from array import array
 
-import numpy as np
-
 _CUT = re.compile(r"(?<=\S)(?= )")
-_RUN = re.compile(r"\s\s|^\s|\s$")
-_SPACE = re.compile(r"\s")
+_WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 _LONG_CHUNK = 80
 
+# Fixed rule of byte-level vocabularies: printable Latin-1 bytes stand for themselves, the others for U+0100 onwards.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)).difference(_PLAIN)))}
+
+
+def _single(text: str) -> bool:
+    """White space is nothing but lone spaces and line feeds between other characters."""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not any([r in text for r in _RUNS]) and (text.isascii() or not _WIDE_SPACE.search(text))
+
+
 _loaded: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
@@ -47,70 +57,59 @@ class ChunkEncoder:
         self.limit = cache_entries
         with open(path, encoding="utf-8") as f:
             self.mode = _mode(json.load(f))
-        self.later: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.words = _Words(self)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _chunks(self, chunks: list[str], mark: str, lead: str) -> list[bytes]:
-        """Ids of chunks, each after ``lead``; those without white space or mark go through one text together."""
-        sole = [k for k, x in enumerate(chunks) if mark in x or not x or _SPACE.search(x)]
-        out: list[bytes] = [b""] * len(chunks)
-        for k, ids in zip(sole, self._whole([lead + chunks[k] for k in sole])):
-            out[k] = ids
-        skip = set(sole)
-        rest = [k for k in range(len(chunks)) if k not in skip]
-        sign = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        assert len(sign) == 1
-        gap = f" {mark} " if self.mode == "word" else f"{mark}{lead}"
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            ids = np.array(self._ids(lead + gap.join(chunks[k] for k in some)), dtype="<u4")
-            ends = [*np.flatnonzero(ids == sign[0]).tolist(), len(ids)]
-            assert len(ends) == len(some)
-            raw, start = ids.tobytes(), 0
-            for k, end in zip(some, ends):
-                out[k] = raw[4 * start : 4 * end]
-                start = end + 1
-        return out
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _look(self, cache: dict[str, bytes], words: set[str], mark: str, lead: str) -> dict[str, bytes]:
-        """Fills the cache; returns a table that has every word."""
-        if len(cache) > self.limit:
-            cache.clear()
-        words.difference_update(cache)
-        long = [x for x in words if len(x) > _LONG_CHUNK]  # these are not kept
-        new = list(words.difference(long))
-        cache.update(zip(new, self._chunks(new, mark, lead)))
-        return cache if not long else {**cache, **dict(zip(long, self._chunks(long, mark, lead)))}
-
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mode == "whole":
-            return self._whole(texts)
+            return self.whole(texts)
+        if len(self.words) > self.limit:
+            self.words.clear()
+        get = self.words.__getitem__
         if self.mode == "word":
-            cut = [x.replace("\n", " ").split(" ") for x in texts]
-            get = self._look(self.later, {w for x in cut for w in x}, "\x01", "").__getitem__
-            return [b"".join(map(get, x)) for x in cut]
-        plain = [k for k, x in enumerate(texts) if not _RUN.search(x)]
-        lines = [[x.split(" ") for x in texts[k].split("\n")] for k in plain]
-        rough = {k: _CUT.split(x) for k, x in enumerate(texts) if _RUN.search(x)}
-        later = {w for x in lines for line in x for w in line[1:]}
-        later.update(w[1:] for x in rough.values() for w in x[1:])
-        first = {line[0] for x in lines for line in x}
-        first.update(x[0] for x in rough.values())
-        later_get = self._look(self.later, later, "\n", " ").__getitem__
-        first_get = self._look(self.first, first, "\n", "").__getitem__
-        out: list[bytes] = [b""] * len(texts)
-        feed = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
-        for k, x in zip(plain, lines):
-            out[k] = feed.join([first_get(line[0]) + b"".join(map(later_get, line[1:])) for line in x])
-        for k, x in rough.items():
-            out[k] = first_get(x[0]) + b"".join([later_get(w[1:]) for w in x[1:]])
-        return out
+            return [b"".join(map(get, x.replace("\n", " ").split(" "))) for x in texts]
+        heads, out = [], []
+        for x in texts:
+            if _single(x):
+                head, *tail = x.replace("\n", " \n").split(" ")
+            else:
+                head, *tail = _CUT.split(x)
+                tail = [w[1:] for w in tail]
+                if any(w[:1] == "\n" for w in tail):  # here a space comes before that line feed
+                    head, tail = x, []
+            heads.append(head)
+            out.append(b"".join(map(get, tail)))
+        return [a + b for a, b in zip(self.whole(heads), out)]
+
+
+class _Words(dict):
+    """Chunks to ids, encoded at their first use. At byte level a chunk stands behind a space, or begins with the line
+    feed that stands in the space's stead. A full stop or comma after a letter is a pre-token of its own."""
+
+    def __init__(self, owner: ChunkEncoder):
+        super().__init__()
+        self.whole, self.merge = owner.whole, owner.tokenizer.model.tokenize
+        self.low, self.lead = owner.mode == "word", " " if owner.mode == "byte" else ""
+        self.points, self.feed = dict(zip(".,", owner.whole([".", ","]))), owner.whole(["\n"])[0]
+
+    def __missing__(self, w: str) -> bytes:
+        if w[:1] == "\n" and not self.low:
+            ids = self.feed + self._ids("", w[1:])
+        else:
+            ids = self._ids(self.lead, w)
+        if len(w) <= _LONG_CHUNK:
+            self[w] = ids
+        return ids
+
+    def _ids(self, lead: str, w: str) -> bytes:
+        core = w[:-1] if w[-1:] in self.points else w
+        if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
+            word = (core.lower() if self.low else lead + core).encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = array("I", [t.id for t in self.merge(word)]).tobytes()
+            return ids if core is w else ids + self.points[w[-1]]
+        return self.whole([lead + w])[0]
 
 
 def _mode(spec: dict) -> str:
