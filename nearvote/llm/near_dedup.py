@@ -4,12 +4,14 @@
    with its least document as representative; only representatives go on.
 2. Representatives that share a band are in one bucket. Each bucket has a leader: the member that shares most with
    others over all its bands. Members are compared with their leaders on full sets; links make components.
-3. Buckets that still hold several components are compared in full, in blocks of bounded size. In large buckets the
-   blocks follow the distance to the leader: 1 - Jaccard is a metric, so blocks whose distances differ by more than
-   1 - threshold cannot hold a link and never meet, and blocks inside one component need no comparison.
+3. Buckets that still hold several components are compared in full, in blocks of bounded size; blocks inside one
+   component need no comparison. Buckets with common members make a family, which is compared once. In a family of
+   more than MOST_FAMILY members each bucket is compared for itself, in blocks that follow the distance to its leader:
+   1 - Jaccard is a metric, so blocks whose distances differ by more than 1 - threshold hold no link and never meet.
 4. All links make the final components.
 
-The work in 2 is linear in a bucket's size; 3 compares only what 2 left apart. No step lists a group's pairs.
+The work in 2 is linear in a bucket's size. 3 compares only what 2 left apart, and is quadratic in that: a block of
+some hundred sets, not a pair of sets, is its unit of exchange. No step lists a group's pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ SKETCH = "doc_id bigint, n_shingles bigint, name binary, bands array<bigint>"
 LINKS = "a bigint, b bigint, same bigint, n_a bigint, n_b bigint"
 BLOCK = 256
 BINS = 50  # of the distance to the leader
+MOST_FAMILY = 1 << 14
 
 
 def sketch(docs: DataFrame, words: int, n_bands: int, rows: int, group: int = 64) -> DataFrame:
@@ -202,7 +205,7 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, n_bands: int = 24,
     compared = keep(compare(with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")), "near-compared")
     first = compared.filter(_linked(percent)).select("a", "b")
     roots = keep(components(first, "a", "b"), "near-roots")
-    rest = _rest(led, compared, roots, sets, percent)
+    rest = _rest(led, compared, roots, sets, percent, keep)
     links = keep(first.unionByName(rest), "near-links")
     copies = marks.select("doc_id", "n_shingles", "name").join(reps.select("name", "rep", "copies"), "name", "left")
     roots = components(links.unionByName(_several(copies)), "a", "b")
@@ -218,25 +221,36 @@ def _several(copies: DataFrame) -> DataFrame:
     return one.select(F.col("low").alias("a"), F.col("rep").alias("b")).unionByName(one.select(F.col("low").alias("a"), F.col("doc_id").alias("b")))
 
 
-def _rest(led: DataFrame, compared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(led: DataFrame, compared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, keep) -> DataFrame:
     """Links that comparison with leaders could not see."""
-    distance = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc"), (1 - F.col("same") / (F.col("n_a") + F.col("n_b") - F.col("same"))).alias("far"))
     rows = led.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("comp", F.coalesce("root", "doc")).drop("root")
-    mixed = rows.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.xxhash64("doc") % (1 << 40)).alias("m1"), F.sum(F.xxhash64("doc", F.lit(1)) % (1 << 40)).alias("m2")).filter("low <> high")
-    same = mixed.join(rows.select("band", "size").distinct(), "band")
-    once = same.groupBy("m1", "m2", "size").agg(F.min("band").alias("band")).select("band")  # buckets with the same members count once
-    rows = rows.join(once, "band").join(distance, ["leader", "doc"], "left").withColumn("bin", F.when(F.col("size") <= BLOCK, 0).otherwise(F.floor(F.coalesce("far", F.lit(0.0)) * BINS)).cast("int"))
-    width = rows.groupBy("band", "bin").agg(F.ceil(F.count("*") / (BLOCK / 2)).cast("int").alias("parts"))
-    rows = rows.join(width, ["band", "bin"]).withColumn("part", F.when(F.col("size") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("doc"), F.col("parts"))).cast("int"))
-    blocks = rows.groupBy("band", "bin", "part").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
-    x = blocks.select("band", *[F.col(c).alias(f"x_{c}") for c in ("bin", "part", "low", "high", "n")])
-    y = blocks.select("band", *[F.col(c).alias(f"y_{c}") for c in ("bin", "part", "low", "high", "n")])
+    mixed = rows.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("doc").alias("least"), F.count("*").alias("n"), *[F.sum(F.xxhash64("doc", F.lit(k)) % (1 << 40)).alias(f"m{k}") for k in (0, 1)])
+    once = mixed.filter("low <> high").groupBy("m0", "m1", "n").agg(F.min_by(F.struct("band", "least"), "band").alias("x")).select("x.*")  # buckets with the same members count once
+    rows = keep(rows.join(once, "band"), "near-mixed")
+    families = components(rows, "least", "doc").withColumnsRenamed({"node": "doc", "root": "family"})
+    rows = rows.join(families, "doc", "left").withColumn("family", F.coalesce("family", "doc"))
+    large = rows.groupBy("family").agg(F.count_distinct("doc").alias("members")).filter(F.col("members") > MOST_FAMILY).select("family")
+    small = rows.join(large, "family", "left_anti").select(F.xxhash64("family").alias("zone"), F.lit(0).alias("bin"), "doc", "comp").distinct()
+    distance = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc"), (1 - F.col("same") / (F.col("n_a") + F.col("n_b") - F.col("same"))).alias("far"))
+    wide = rows.join(large, "family", "left_semi").join(distance, ["leader", "doc"], "left")
+    wide = wide.select(F.col("band").alias("zone"), F.floor(F.coalesce("far", F.lit(0.0)) * BINS).cast("int").alias("bin"), "doc", "comp")
+    return compare_blocks(_in_blocks(keep(small.unionByName(wide), "near-zones"), percent).join(sets.withColumnRenamed("doc_id", "doc"), "doc"), percent)
+
+
+def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """(zone, bin, doc, comp) to (pair, doc, comp): the members of each two blocks of a zone that may hold a link.
+    A component with many members in a zone has blocks of its own, which need not meet each other."""
+    sizes = rows.groupBy("zone", "bin", "comp").agg(F.count("*").alias("n")).withColumn("slot", F.when(F.col("n") >= BLOCK // 2, F.col("comp")))
+    parts = sizes.groupBy("zone", "bin", "slot").agg(F.ceil(F.sum("n") / (BLOCK * 3 // 4)).cast("int").alias("parts"))
+    slots = sizes.alias("s").join(parts.alias("p"), F.expr("s.zone = p.zone and s.bin = p.bin and s.slot <=> p.slot")).select("s.zone", "s.bin", "s.comp", "s.slot", "p.parts")
+    rows = rows.join(slots, ["zone", "bin", "comp"]).withColumn("block", F.xxhash64("bin", F.coalesce("slot", F.lit(-1)), F.pmod(F.xxhash64("doc"), F.col("parts"))))
+    blocks = rows.groupBy("zone", "bin", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    x, y = (blocks.select("zone", *[F.col(c).alias(f"{side}_{c}") for c in ("bin", "block", "low", "high")]) for side in "xy")
     reach = BINS * (100 - percent) // 100 + 1
-    met = x.join(y, "band").filter(f"(x_bin, x_part) <= (y_bin, y_part) and y_bin - x_bin <= {reach}").filter("not (x_low = x_high and y_low = y_high and x_low = y_low)").filter("x_n > 1 or (x_bin, x_part) <> (y_bin, y_part)")
-    met = met.withColumn("pair", F.xxhash64("band", "x_bin", "x_part", "y_bin", "y_part"))
-    side = met.select("band", F.col("x_bin").alias("bin"), F.col("x_part").alias("part"), "pair").unionByName(met.select("band", F.col("y_bin").alias("bin"), F.col("y_part").alias("part"), "pair")).distinct()
-    rows = rows.select("band", "bin", "part", "doc", "comp").join(side, ["band", "bin", "part"]).select("pair", "doc", "comp")
-    return compare_blocks(rows.join(sets.withColumnRenamed("doc_id", "doc"), "doc"), percent)
+    met = x.join(y, "zone").filter(f"x_block <= y_block and abs(y_bin - x_bin) <= {reach} and not (x_low = x_high and y_low = y_high and x_low = y_low)")
+    met = met.withColumn("pair", F.xxhash64("zone", "x_block", "y_block"))
+    side = met.select("zone", F.explode(F.array_distinct(F.array("x_block", "y_block"))).alias("block"), "pair")
+    return rows.select("zone", "block", "doc", "comp").join(side, ["zone", "block"]).select("pair", "doc", "comp")
 
 
 def representatives(docs: DataFrame, **settings) -> DataFrame:
