@@ -22,6 +22,7 @@ PIECE, PIECE_STEP = 24, 12
 # Longest piece in words, window width, stride: width - stride + 1 is at least the piece.
 SCALES = ((4, 6, 2), (9, 12, 4), (PIECE, 32, 8))
 MOST_ANCHORS = 2000
+MOST_BROADCAST = 20_000  # pieces; each has a row a band, of some hundred bytes
 
 # Fixed texts: public license notices.
 TEMPLATES = (
@@ -85,7 +86,8 @@ def scan(docs: DataFrame, templates: DataFrame, n_bands: int = 24) -> DataFrame:
     A piece is found where a window holds at least four fifths of its shingles, a template where at least four fifths
     of its pieces are. Null, empty and wordless texts and templates hold nothing; rows that repeat a doc_id count as
     one document; a null doc_id is a document of its own. Empty tables give no rows; further columns are not read.
-    Texts stay in their partition; only windows that may hold a piece are exchanged.
+    Texts stay in their partition: up to MOST_BROADCAST pieces go to the windows, and only
+    found pieces are exchanged; with more, windows and pieces are exchanged by band.
     """
     pieces = pieces_of(templates.select(templates["template_id"], templates["license"], templates["text"]))
     anchors = [r.anchor for r in pieces.select("anchor").distinct().limit(MOST_ANCHORS + 1).collect()]
@@ -104,6 +106,8 @@ def scan(docs: DataFrame, templates: DataFrame, n_bands: int = 24) -> DataFrame:
     cut = rows.select("doc_id", F.explode_outer(F.flatten(F.array(*windows))).alias("win")).select("doc_id", "win.*")
     cut = cut.withColumn("band", _minima("gg", n_bands)).select("doc_id", "scale", "at", "ww", F.explode_outer("band").alias("band"))
     keyed = pieces.withColumn("g", _pairs("w")).withColumn("band", _minima("g", n_bands)).select("template_id", "license", "piece", "k", "shingles", "scale", F.explode_outer("band").alias("band"))
+    if pieces.count() <= MOST_BROADCAST:
+        keyed = F.broadcast(keyed)
     held = F.expr(f"size(array_intersect(shingles, {_shingles('ww', 'k')})) / size(shingles)")
     found = cut.join(keyed, ["scale", "band"]).filter("size(ww) >= k").withColumn("held", held).filter(F.col("held") >= LEAST)
     per = found.groupBy("doc_id", "template_id", "license", "piece").agg(F.max("held").alias("held"), F.min("at").alias("at"))
