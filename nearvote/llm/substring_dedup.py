@@ -17,7 +17,9 @@ Tuples and prefixes are sorted as 64-bit polynomial names. Among n suffixes that
 expected to share a name by chance: below 0.002 for 2**28 suffixes (a gigabyte of text of which a quarter repeats).
 
 Texts are read from chunk rows of a few megabytes. A chunk sends, for each range, one sorted, difference-coded array
-of its distinct names, and gets back one bit a name; every step writes a table in the shared folder.
+of its distinct names, and gets back one bit a name; every step writes a table in the shared folder. Before step 3
+documents with suffixes left are regrouped by the least shared name in them: copies come into the same chunks, which
+send a prefix once for all of them. Regrouping is by range of (name, hash of id), so a large group spreads over tasks.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from . import common
 COVER, PERIOD = (0, 1, 3, 8, 12, 18), 31  # fixed: a perfect difference set
 CHUNKS = "chunk bigint, ids binary, lens binary, data binary"
 MARKED = CHUNKS + ", marks binary"
+SPLIT = "name bigint, doc bigint, n_bytes bigint, kept_sha256 string, data binary, marks binary"
 SENT = "part int, chunk bigint, n int, names binary, docs binary"
 BITS = "chunk bigint, part int, bits binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -100,16 +103,19 @@ class Chunk:
     def of(cls, row: dict) -> Chunk:
         return cls(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lens"], np.int64), zstandard.decompress(row["data"]))
 
-    def left(self) -> np.ndarray:
-        """Bytes from each position to its document's end."""
-        return self.ends[self.doc] - np.arange(len(self.data))
+    def roomy(self, width: int) -> np.ndarray:
+        """Whether ``width`` bytes are left from each position to its document's end."""
+        out = np.ones(len(self.data), bool)
+        for a, b in zip(self.starts.tolist(), self.ends.tolist()):
+            out[max(a, b - width + 1) : b] = False
+        return out
 
     def sample(self, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Sampled positions and their tuples' names, cut to ``bits`` bits."""
         if len(self.data) < width:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        place = np.arange(len(self.data)) - self.starts[self.doc]
-        at = np.flatnonzero(_IN_COVER[place % PERIOD] & (self.left() >= width))
+        pattern = np.resize(_IN_COVER, int(self.lens.max()))
+        at = np.flatnonzero(np.concatenate([pattern[:n] for n in self.lens.tolist()]) & self.roomy(width))
         return at, window_names(self.data, width)[at] >> np.uint64(64 - bits)
 
     def candidates(self, at: np.ndarray, length: int) -> np.ndarray:
@@ -117,7 +123,7 @@ class Chunk:
         edge = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(edge, np.maximum(at - (PERIOD - 1), self.starts[self.doc[at]]), 1)
         np.add.at(edge, at + 1, -1)
-        return np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (self.left() >= length))
+        return np.flatnonzero((np.cumsum(edge[:-1]) > 0) & self.roomy(length))
 
     def prefixes(self, at: np.ndarray, length: int) -> np.ndarray:
         """Names of the prefixes at ``at``, computed over the documents that have one."""
@@ -144,35 +150,45 @@ class Chunk:
 
 
 def chunks_of(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Packs the documents of each task into chunk rows, in the order they come. Nothing is shuffled."""
-    fields = common.arrow_schema(CHUNKS)
+    """Packs the rows of each task into chunk rows, in the order they come: (doc_id, text), or (doc, data, marks) of
+    documents already read. Nothing is shuffled."""
+    again = "marks" in docs.columns
+    schema = MARKED if again else CHUNKS
+    fields = common.arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, count = TaskContext.get().partitionId() << 32, 0
-        ids: list[int] = []
-        parts: list[bytes] = []
-        held = 0
+        base, count, held = TaskContext.get().partitionId() << 32, 0, 0
+        rows: list[tuple[int, bytes, bytes | None]] = []
 
         def give() -> pa.RecordBatch:
+            ids, parts, marks = zip(*rows)
             cols = [[base + count], [np.array(ids, np.int64).tobytes()], [np.array(list(map(len, parts)), np.int64).tobytes()], [zstandard.compress(b"".join(parts), 3)]]
+            if again:
+                bits = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)) for m, p in zip(marks, parts)])
+                cols.append([zstandard.compress(np.packbits(bits).tobytes(), 1)])
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, fields)], schema=fields)
 
+        def read(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, bytes | None]]:
+            if again:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("doc", "data", "marks")))
+            else:
+                for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts_of(batch)):
+                    yield NO_ID if doc is None else doc, text.encode(), None
+
         for batch in batches:
             for some in common.pieces(batch):
-                for doc, text in zip(some.column("doc_id").to_pylist(), common.texts_of(some)):
-                    raw = text.encode()
-                    if parts and held + len(raw) > chunk_bytes:
+                for row in read(some):
+                    if rows and held + len(row[1]) > chunk_bytes:
                         yield give()
-                        ids, parts, held, count = [], [], 0, count + 1
-                    ids.append(NO_ID if doc is None else doc)
-                    parts.append(raw)
-                    held += len(raw)
-        if parts:
+                        rows, held, count = [], 0, count + 1
+                    rows.append(row)
+                    held += len(row[1])
+        if rows:
             yield give()
 
-    return docs.mapInArrow(run, CHUNKS)
+    return docs.mapInArrow(run, schema)
 
 
 def _send(chunk: int, names: np.ndarray, docs: list[bytes | None] | np.ndarray, parts: int, bits: int) -> Iterator[dict]:
@@ -281,7 +297,7 @@ def removed(docs: DataFrame, length: int = 50, chunk_bytes: int = 4 << 20, range
     def rows(out: list[dict], fields: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(out, schema=fields)
 
-    sent_fields, marked_fields, result_fields = (common.arrow_schema(s) for s in (SENT, MARKED, RESULT))
+    sent_fields, split_fields, result_fields = (common.arrow_schema(s) for s in (SENT, SPLIT, RESULT))
 
     def send_tuples(batches):
         for batch in batches:
@@ -291,17 +307,26 @@ def removed(docs: DataFrame, length: int = 50, chunk_bytes: int = 4 << 20, range
                 own, low, high, _ = chunk.distinct(names, at)
                 yield rows(list(_send(row["chunk"], own, lambda a, b: np.packbits(low[a:b] == high[a:b]).tobytes(), parts, bits)), sent_fields)
 
-    def mark(batches):
+    def split(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.of(row)
                 at, names = chunk.sample(width, bits)
                 own, _, _, number = chunk.distinct(names, at)
-                shared = _unpack(row.pop("answers"), sizes_of(own, bits))
+                shared = _unpack(row["answers"], sizes_of(own, bits))
+                hit = shared[number] if len(at) else np.zeros(0, bool)
                 marks = np.zeros(len(chunk.data), bool)
-                if len(at):
-                    marks[chunk.candidates(at[shared[number]], length)] = True
-                yield rows([row | {"marks": zstandard.compress(np.packbits(marks).tobytes(), 1)}], marked_fields)
+                marks[chunk.candidates(at[hit], length)] = True
+                least = np.full(len(chunk.ids), NO_ID, np.uint64)
+                np.minimum.at(least, chunk.doc[at[hit]], names[hit])
+                out = []
+                for k, (doc, a, b) in enumerate(zip(chunk.ids.tolist(), chunk.starts.tolist(), chunk.ends.tolist())):
+                    mine, data = marks[a:b], chunk.data[a:b].tobytes()
+                    if mine.any():
+                        out.append({"name": int(least[k]) & NO_ID, "doc": doc, "data": data, "marks": np.packbits(mine).tobytes()})
+                    else:
+                        out.append({"doc": doc, "n_bytes": b - a, "kept_sha256": hashlib.sha256(data).hexdigest()})
+                yield rows(out, split_fields)
 
     def marked_at(row: dict, chunk: Chunk) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(np.frombuffer(zstandard.decompress(row["marks"]), np.uint8), count=len(chunk.data)))
@@ -337,10 +362,17 @@ def removed(docs: DataFrame, length: int = 50, chunk_bytes: int = 4 << 20, range
 
     shared, shared_path = common.stage_table(_bits_back(chunks.mapInArrow(send_tuples, SENT), _several), "sub-shared")
     common.release_shuffles(spark)
-    marked, marked_path = common.stage_table(_with_bits(chunks, shared).mapInArrow(mark, MARKED), "sub-marked")
+    halves, halves_path = common.stage_table(_with_bits(chunks, shared).mapInArrow(split, SPLIT), "sub-split")
     common.drop_path(spark, chunk_path)
     common.drop_path(spark, shared_path)
     common.release_shuffles(spark)
+    whole = halves.filter("data is null").select(F.expr(f"nullif(doc, {NO_ID})").alias("doc_id"), "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), "kept_sha256")
+    whole, _ = common.stage_table(whole, "sub-whole")
+    near = halves.filter("data is not null").select("name", F.xxhash64("doc").alias("h"), "doc", "data", "marks")
+    near = near.repartitionByRange(common.shuffle_parts(spark), "name", "h").sortWithinPartitions("name", "h")
+    marked, _ = common.stage_table(chunks_of(near, chunk_bytes), "sub-marked")
+    common.drop_path(spark, halves_path)
+    common.release_shuffles(spark)
     later, _ = common.stage_table(_bits_back(marked.mapInArrow(send_prefixes, SENT), _later), "sub-later")
     common.release_shuffles(spark)
-    return _with_bits(marked, later).mapInArrow(finish, RESULT)
+    return whole.unionByName(_with_bits(marked, later).mapInArrow(finish, RESULT))
