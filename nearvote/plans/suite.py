@@ -1,10 +1,333 @@
-"""Named queries over the driver's tables, each with the SQL that gives the same rows."""
+"""Named queries over the driver's tables, each with the SQL that gives the same rows where SQL can.
+
+Searches take as queries every event whose id is divisible by 20, against all events.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schema as S
+from ..functions import features as X
+from ..functions import parse as P
+from ..functions import rules as R
+from ..operators import ivf, knn, search, validate
+from ..sources import transactions as T
+from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+DEPTH = 5
+_made: dict[tuple, object] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(run):
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return run
+
+    return add
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], object]):
+    """Derived tables and indexes are written once a session and input, and read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.vectors(T.transactions(T.events(spark, sf_dir)))
+
+
+def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "vectors", lambda: ivf.cut(vectors(spark, sf_dir), "vectors"))
+
+
+def query_set(rows: DataFrame, id_col: str = "event_id") -> DataFrame:
+    return rows.filter(F.col(id_col) % 20 == 0).withColumnRenamed(id_col, "qid")
+
+
+def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir).withColumnRenamed("event_id", "orig_id")
+
+
+def index(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> ivf.Index:
+    return _once(spark, sf_dir, f"index{depth}", lambda: ivf.build(refs(spark, sf_dir), 1 << depth))
+
+
+def rounded(prefix: str = "v") -> list:
+    return [F.round(F.col(f"{prefix}{k}").cast("double"), 6).alias(f"{prefix}{k}") for k in range(S.DIMS)]
+
+
+def v() -> list:
+    return [F.col(c) for c in S.V]
+
+
+def q() -> list:
+    return [F.col(c) for c in S.Q]
+
+
+def answer(rows: DataFrame) -> DataFrame:
+    return rows.select("qid", F.col("votes").cast("int").alias("votes"), "approved", F.col("fraud_score").cast("double").alias("fraud_score"))
+
+
+BASE, FLAT, TREE = f"WITH {O.vec()}", f"WITH {O.vec()},\n{O.flat()}", f"WITH {O.vec()},\n{O.tree(DEPTH)}"
+FULL = f"{FLAT},\n{O.tree(DEPTH)},\n{O.probe('p2', 2)},\n{O.probe('p4', 4)}"
+VOTED = f"qid, votes, {O.decision('votes')}"
+
+
+@query("q01_knn_flat_vote", f"{FLAT} SELECT {VOTED} FROM flat")
+def q01(spark, sf_dir):
+    rows = table(spark, sf_dir)
+    return answer(search.flat_search(query_set(rows), rows.withColumnRenamed("event_id", "orig_id")))
+
+
+@query("q02_features", f"{BASE} SELECT event_id, label, {O.values()} FROM vec")
+def q02(spark, sf_dir):
+    return vectors(spark, sf_dir).select("event_id", "label", *rounded())
+
+
+@query("q03_quantize", f"{BASE} SELECT event_id, {', '.join(S.Q)} FROM vec")
+def q03(spark, sf_dir):
+    return vectors(spark, sf_dir).select("event_id", *S.Q)
+
+
+@query("q04_dequantize", f"{BASE} SELECT event_id, {', '.join(f'round(cast({O.f32(c)} / {O.f32(10000)} AS double), 6) AS {c}' for c in S.Q)} FROM vec")
+def q04(spark, sf_dir):
+    return vectors(spark, sf_dir).select("event_id", *[F.round(X.dequantize(F.col(c)).cast("double"), 6).alias(c) for c in S.Q])
+
+
+@query("q05_mcc_join", f"WITH {O.tx()} SELECT mcc, count(*) AS n, round(sum(CASE mcc {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {int(r * 100)}' for k, r in S.MCC_RISK.items())} ELSE 50 END) / 100.0, 2) AS risk FROM tx GROUP BY mcc")
+def q05(spark, sf_dir):
+    lookup = spark.createDataFrame([(k, round(r * 100)) for k, r in S.MCC_RISK.items()], "mcc string, risk int")  # ten rows
+    tx = T.transactions(T.events(spark, sf_dir)).select("mcc").join(F.broadcast(lookup), "mcc", "left")
+    return tx.groupBy("mcc").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("risk", F.lit(50))) / 100.0, 2).alias("risk"))
+
+
+@query("q06_json_roundtrip", f"{BASE} SELECT event_id, true AS ok, {O.values()} FROM vec")
+def q06(spark, sf_dir):
+    bodies = T.payloads(T.transactions(T.events(spark, sf_dir)))
+    return P.parse(bodies).select("event_id", "ok", *P.request_vector()).select("event_id", "ok", *rounded())
+
+
+@query("q07_timestamp_parse", f"WITH {O.tx()} SELECT event_id, sec AS epoch_s, hour, weekday FROM tx")
+def q07(spark, sf_dir):
+    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return T.events(spark, sf_dir).select("event_id", X.parse_iso(text).alias("t")).select("event_id", "t.epoch_s", "t.hour", "t.weekday")
+
+
+@query("q08_heuristic", f"{BASE} SELECT event_id, CASE WHEN v2 >= {O.f32(R.HEURISTIC_RATIO)} THEN 5 ELSE 0 END AS votes FROM vec")
+def q08(spark, sf_dir):
+    return vectors(spark, sf_dir).select("event_id", R.heuristic_votes(v()).alias("votes"))
+
+
+@query("q09_fast_path", f"{BASE} SELECT event_id, {O.fast_path()} AS votes FROM vec")
+def q09(spark, sf_dir):
+    return vectors(spark, sf_dir).select("event_id", R.fast_path_votes(v()).alias("votes"))
+
+
+def _crossed(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return rows.select("event_id", *S.Q, F.explode(F.sequence(F.lit(0), F.lit(5))).alias("votes"))
+
+
+CROSSED = f"{BASE} SELECT event_id, cast(i AS int) AS votes, {{}} AS hit FROM vec CROSS JOIN range(6) r(i)"
+
+
+@query("q10_low_risk_denial", CROSSED.format(O.low_risk("i")))
+def q10(spark, sf_dir):
+    return _crossed(spark, sf_dir).select("event_id", "votes", R.low_risk_denial(F.col("votes"), q()).alias("hit"))
+
+
+@query("q11_high_risk_approval", CROSSED.format(O.high_risk("i")))
+def q11(spark, sf_dir):
+    return _crossed(spark, sf_dir).select("event_id", "votes", R.high_risk_approval(F.col("votes"), q()).alias("hit"))
+
+
+@query("q12_balanced_assign", f"WITH {O.vec()},\n{O.tree(3)} SELECT event_id, cast(list_id AS int) AS list_id FROM lists")
+def q12(spark, sf_dir):
+    return index(spark, sf_dir, 3).refs.select(F.col("orig_id").alias("event_id"), "list_id")
+
+
+@query("q13_centroids", f"{TREE} SELECT list_id, n, {', '.join(f'round(cast(c{k} AS double), 5) AS c{k}' for k in O.DIMS)} FROM cents")
+def q13(spark, sf_dir):
+    return index(spark, sf_dir).centroids.select("list_id", "n", *[F.round(F.col(f"c{k}").cast("double"), 5).alias(f"c{k}") for k in range(S.DIMS)])
+
+
+@query("q14_bboxes", f"{TREE} SELECT cast(list_id AS int) AS list_id, count(*) AS n, {', '.join(f'min(q{k}) AS mn{k}, max(q{k}) AS mx{k}' for k in O.DIMS)} FROM lists GROUP BY list_id")
+def q14(spark, sf_dir):
+    return index(spark, sf_dir).boxes
+
+
+SIZE_AT = "list_extract(list_sort(list(n)), cast(floor({} * (count(*) - 1)) AS int) + 1)"
+
+
+@query("q15_list_histogram", f"{TREE} SELECT cast(sum(n) AS bigint) AS vectors, count(*) AS lists, count(*) FILTER (n > 0) AS non_empty, count(*) FILTER (n = 0) AS empty, {SIZE_AT.format(0.5)} AS p50, {SIZE_AT.format(0.95)} AS p95, {SIZE_AT.format(0.99)} AS p99, max(n) AS max FROM cents")
+def q15(spark, sf_dir):
+    return ivf.histogram(index(spark, sf_dir).centroids).select("vectors", "lists", F.col("non_empty").cast("long").alias("non_empty"), F.col("empty").cast("long").alias("empty"), "p50", "p95", "p99", "max")
+
+
+@query("q16_csr_offsets", f"{TREE} SELECT list_id, cast(coalesce(sum(n) OVER (ORDER BY list_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS \"begin\", n FROM cents")
+def q16(spark, sf_dir):
+    return ivf.offsets(index(spark, sf_dir).centroids)
+
+
+GAP = "(cast(greatest(b.mn{0} - cast(q.q{0} AS int), cast(q.q{0} AS int) - b.mx{0}, 0) AS bigint))"
+BOXES = f"b AS MATERIALIZED (SELECT cast(list_id AS int) AS list_id, {', '.join(f'min(q{k}) AS mn{k}, max(q{k}) AS mx{k}' for k in O.DIMS)} FROM lists GROUP BY list_id)"
+
+
+@query("q17_bbox_lower_bound", f"{TREE}, {BOXES} SELECT q.event_id AS qid, b.list_id, {' + '.join(f'{GAP.format(k)} * {GAP.format(k)}' for k in O.DIMS)} AS bound FROM vec q CROSS JOIN b WHERE q.event_id % 20 = 0")
+def q17(spark, sf_dir):
+    made = index(spark, sf_dir)
+    pairs = query_set(table(spark, sf_dir)).select("qid", *S.Q, F.explode(F.sequence(F.lit(0), F.lit(made.nlist - 1))).alias("list_id"))
+    cols = [[F.col(f"{side}{k}") for k in range(S.DIMS)] for side in ("mn", "mx")]
+    return pairs.join(made.boxes, "list_id").select("qid", "list_id", search.lower_bound(q(), *cols).alias("bound"))
+
+
+@query("q18_nearest_centroids", f"{FULL} SELECT qid, list_id FROM p4_near")
+def q18(spark, sf_dir):
+    return search.probes(query_set(table(spark, sf_dir)).select("qid", *S.Q), index(spark, sf_dir), 4).select("qid", "list_id")
+
+
+NEAR_ONE = " + ".join(f"(l.v{k} - c.c{k}) * (l.v{k} - c.c{k})" for k in O.DIMS)
+
+
+@query("q19_nearest_list", f"{TREE} SELECT event_id, list_id FROM (SELECT l.event_id, c.list_id, row_number() OVER (PARTITION BY l.event_id ORDER BY {NEAR_ONE}, c.list_id) AS place FROM vec l CROSS JOIN cents c) WHERE place = 1")
+def q19(spark, sf_dir):
+    cents = ivf.as_matrix(index(spark, sf_dir).centroids, S.DIMS)
+    return ivf.nearest_list(table(spark, sf_dir), cents).select("event_id", "list_id")
+
+
+@query("q20_ivf_probe_vote", f"{FULL} SELECT {VOTED} FROM p4")
+def q20(spark, sf_dir):
+    return answer(search.probe(query_set(table(spark, sf_dir)), index(spark, sf_dir), 4))
+
+
+@query("q21_ivf_repair_equals_flat", f"{FLAT} SELECT {VOTED} FROM flat")
+def q21(spark, sf_dir):
+    return answer(search.probe(query_set(table(spark, sf_dir)), index(spark, sf_dir), 2, True))
+
+
+PICKED = "FROM queries q JOIN p2 ON p2.qid = q.event_id JOIN p4 ON p4.qid = q.event_id JOIN flat ON flat.qid = q.event_id"
+
+
+def staged(expr: str) -> str:
+    return f"{FULL} SELECT qid, votes, {O.decision('votes')} FROM (SELECT q.event_id AS qid, {expr} AS votes {PICKED})"
+
+
+@query("q22_conditional_repair", staged(f"CASE WHEN {O.gate('p4.votes', 'q.')} THEN flat.votes ELSE p4.votes END"))
+def q22(spark, sf_dir):
+    return answer(search.search(query_set(table(spark, sf_dir)), index(spark, sf_dir), S.SearchParams(4, 4, "ambiguous-only")))
+
+
+def two_phase(expr: str) -> str:
+    return staged(f"CASE WHEN {O.gate('p2.votes', 'q.')} THEN {expr} ELSE p2.votes END")
+
+
+def _mode(mode: str, exact: bool = False):
+    def run(spark, sf_dir):
+        return answer(search.search(query_set(table(spark, sf_dir)), index(spark, sf_dir), S.SearchParams(2, 4, mode, exact)))
+
+    return run
+
+
+query("q23_two_phase_off", two_phase("p4.votes"))(_mode("off"))
+query("q23_two_phase_ambiguous", two_phase("flat.votes"))(_mode("ambiguous-only"))
+query("q23_two_phase_always", f"{FLAT} SELECT {VOTED} FROM flat")(_mode("always"))
+query("q23_two_phase_boundary", two_phase(f"CASE WHEN p4.votes IN (2, 3) OR {O.low_risk('p4.votes', 'q.')} OR {O.high_risk('p4.votes', 'q.')} THEN flat.votes ELSE p4.votes END"))(_mode("boundary-only"))
+query("q24_exact_fallback", two_phase("CASE WHEN (p4.votes < 3) <> (p2.votes < 3) THEN flat.votes ELSE p4.votes END"))(_mode("off", True))
+
+
+def _validated(spark, sf_dir):
+    rows, made = query_set(table(spark, sf_dir)), index(spark, sf_dir)
+    got = search.search(rows, made, S.SearchParams(4, 4, "off"))
+    expected = rows.select("qid", (F.col("label") == 0).alias("expected_approved"), validate.expected_votes(F.col("label").cast("double")).alias("expected_votes"))
+    return got.join(expected, "qid").withColumn("ok", F.lit(True)), made
+
+
+EXPECTED = f"{FULL}, e AS MATERIALIZED (SELECT q.event_id AS qid, p4.votes, p4.votes < 3 AS approved, q.label = 0 AS expected_approved, q.label * 5 AS expected_votes FROM queries q JOIN p4 ON p4.qid = q.event_id), a AS (SELECT count(*) AS validated, count(*) FILTER (approved <> expected_approved) AS mismatches, count(*) FILTER (approved <> expected_approved AND expected_approved) AS fp, count(*) FILTER (approved <> expected_approved AND NOT expected_approved) AS fn, count(*) FILTER (votes <> expected_votes) AS diff, count(*) FILTER (approved AND expected_approved) AS tn, count(*) FILTER (NOT approved AND NOT expected_approved) AS tp FROM e)"
+
+
+@query("q25_confusion", f"{EXPECTED} SELECT validated, mismatches, fp AS false_positive, fn AS false_negative, fp + 3 * fn AS weighted_errors, cast(0 AS bigint) AS parse_errors, diff AS fraud_count_diff, validated AS expanded, (SELECT cast(sum(c.n) AS double) FROM p4_near x JOIN cents c ON c.list_id = x.list_id) / validated AS avg_candidates, cast(100 AS double) * mismatches / validated AS mismatch_rate FROM a")
+def q25(spark, sf_dir):
+    rows, made = _validated(spark, sf_dir)
+    return validate.report(rows, S.SearchParams(4, 4, "off"), made).select("validated", "mismatches", "false_positive", "false_negative", "weighted_errors", "parse_errors", "fraud_count_diff", "expanded", "avg_candidates", "mismatch_rate")
+
+
+@query("q26_score_formula", f"{EXPECTED}, s AS (SELECT *, fp + 3 * fn AS e, cast(fp + fn AS double) / validated AS failure FROM a) SELECT e AS weighted_errors, round(cast(e AS double) / validated, 6) AS epsilon, round(failure, 6) AS failure_rate, round(1000 * log10(cast(1000 AS double) / 2.5), 4) AS p99_score, round(CASE WHEN failure > 0.15 THEN -3000 ELSE 1000 * log10(1 / greatest(cast(e AS double) / validated, 0.001)) - 300 * log10(1.0 + e) END, 4) AS detection_score FROM s")
+def q26(spark, sf_dir):
+    rows, _ = _validated(spark, sf_dir)
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    a, x = F.col("approved"), F.col("expected_approved")
+    counts = rows.agg(n(~a & ~x).alias("tp"), n(a & x).alias("tn"), n(~a & x).alias("fp"), n(a & ~x).alias("fn"), F.lit(0).alias("err"), F.lit(2.5).alias("p99"))
+    r = lambda c, k: F.round(c, k).alias(c)
+    return validate.load_score(counts).select("weighted_errors", r("epsilon", 6), r("failure_rate", 6), r("p99_score", 4), r("detection_score", 4))
+
+
+@query("q27_dataset_stats", f"{BASE} SELECT count(*) AS total, count(*) FILTER (label <> 0) AS fraud_count, count(*) FILTER (label = 0) AS legit_count, count(*) FILTER (v5 < 0) AS edge_case_count, round(cast(count(*) FILTER (label <> 0) AS double) / count(*), 6) AS fraud_rate FROM vec")
+def q27(spark, sf_dir):
+    s = validate.dataset_stats(table(spark, sf_dir), edge=F.col("v5") < 0)
+    return s.select("total", "fraud_count", "legit_count", "edge_case_count", F.round("fraud_rate", 6).alias("fraud_rate"))
+
+
+@query("q28_stride_sample", "SELECT i * n // 777 AS orig_id FROM range(777) r(i) CROSS JOIN (SELECT count(*) AS n FROM events)")
+def q28(spark, sf_dir):
+    return ivf.stride_sample(refs(spark, sf_dir), 777).select("orig_id")
+
+
+@query("q29_bin_clamped", f"{BASE} SELECT event_id, {', '.join(f'cast(least(floor({O.clamp(c)} * {O.f32(16)}), 15) AS int) AS {c}' for c in S.V)} FROM vec")
+def q29(spark, sf_dir):
+    return vectors(spark, sf_dir).select("event_id", *[X.bin_clamped(F.col(c), 16).alias(c) for c in S.V])
+
+
+@query("q30_kmeans_assign")
+def q30(spark, sf_dir):
+    rows, _ = ivf.kmeans(refs(spark, sf_dir), 16, 2048, 3)
+    return rows.select("orig_id", "list_id")
+
+
+EMB = "e AS MATERIALIZED (SELECT vec_id, label, {} FROM embeddings)".format(", ".join(f"{O.quantize(f'embedding[{k + 1}]')} AS q{k}" for k in range(64)))
+
+
+@query("q31_embeddings_knn", f"WITH {EMB} SELECT qid, orig_id, dist, rank FROM (SELECT a.vec_id AS qid, b.vec_id AS orig_id, {O.distance('a', 'b', 64)} AS dist, cast(row_number() OVER (PARTITION BY a.vec_id ORDER BY {O.distance('a', 'b', 64)}, b.vec_id) AS int) AS rank FROM e a CROSS JOIN e b WHERE a.vec_id % 20 = 0) WHERE rank <= 5")
+def q31(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = e.select("vec_id", F.col("label").cast("byte").alias("label"), *[X.quantize(F.element_at("embedding", k + 1)).alias(f"q{k}") for k in range(64)])
+    dims = [f"q{k}" for k in range(64)]
+    return knn.flat(query_set(rows, "vec_id"), rows.withColumnRenamed("vec_id", "orig_id"), dims, 5).select("qid", "orig_id", "dist", "rank")
+
+
+@query("q32_mismatch_dump", f"{EXPECTED} SELECT e.qid, e.votes, flat.votes AS exact_votes, expected_approved, {', '.join(f'q.q{k}' for k in O.DIMS)} FROM e JOIN flat ON flat.qid = e.qid JOIN queries q ON q.event_id = e.qid WHERE approved <> expected_approved")
+def q32(spark, sf_dir):
+    rows, made = _validated(spark, sf_dir)
+    wrong = ivf.cut(validate.mismatches(rows).select("qid", "votes", "expected_approved"), "wrong")
+    asked = query_set(table(spark, sf_dir)).select("qid", *S.Q).join(wrong.select("qid"), "qid", "left_semi")
+    exact = search.probe(asked, made, 4, True).select("qid", F.col("votes").alias("exact_votes"))
+    return wrong.join(exact, "qid").join(asked, "qid").select("qid", "votes", "exact_votes", "expected_approved", *S.Q)
+
+
+@query("q33_response_json", f"{FLAT} SELECT qid, concat('{{\"approved\":', CASE WHEN votes < 3 THEN 'true' ELSE 'false' END, ',\"fraud_score\":', ['0.0', '0.2', '0.4', '0.6', '0.8', '1.0'][votes + 1], '}}') AS response FROM flat")
+def q33(spark, sf_dir):
+    rows = refs(spark, sf_dir)
+    return search.flat_search(query_set(table(spark, sf_dir)), rows).select("qid", R.response_json(F.col("votes")).alias("response"))
+
+
+@query("q34_streaming_score", f"{FLAT} SELECT {VOTED} FROM flat")
+def q34(spark, sf_dir):
+    import uuid
+
+    from ..streaming import score
+
+    root = f"{ivf.scratch(spark)}/stream-{uuid.uuid4().hex}"
+    bodies = T.payloads(T.transactions(T.events(spark, sf_dir))).filter(F.col("event_id") % 20 == 0).select(F.col("event_id").alias("qid"), "body")
+    bodies.write.parquet(f"{root}/in")
+    source = spark.readStream.schema("qid bigint, body string").parquet(f"{root}/in")
+    score.score_stream(source, index(spark, sf_dir), f"{root}/out", f"{root}/state", S.SearchParams(2, 4, "always")).awaitTermination()
+    return answer(spark.read.parquet(f"{root}/out").drop("batch"))
