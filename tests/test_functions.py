@@ -134,3 +134,12 @@ def test_responses(spark):
     got = [json.loads(r[0]) for r in rows.select(R.response_json(F.col("n"))).collect()]
     assert got == [{"approved": a, "fraud_score": s} for a, s in ((True, 0.0), (True, 0.4), (False, 0.6), (False, 1.0), (True, 0.0))]
     assert math.isclose(spark.range(1).select(R.fraud_score(F.lit(3))).first()[0], 0.6)
+
+
+def test_half_round_trip(spark):
+    from nearvote.functions.half import from_half, to_half
+
+    cases = [0.0, 1.0, -2.5, 0.1, 65504.0, 6e-8]
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "id int, x float")
+    got = [r.y for r in rows.select("id", from_half(to_half("x")).alias("y")).orderBy("id").collect()]
+    assert got == pytest.approx(cases, rel=1e-3, abs=4e-8)
