@@ -199,7 +199,7 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, n_bands: int = 24,
     leaders = shared.join(weight, "doc").groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc")).alias("d"))).alias("top")).select("band", (-F.col("top.d")).alias("leader"))
     led = keep(shared.join(leaders, "band"), "near-led")
     ids = led.select(F.col("doc").alias("doc_id")).distinct()
-    sets = keep(full_sets(docs.join(ids, "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.max("set").alias("set")), "near-sets")
+    sets = keep(full_sets(docs.join(ids.hint("merge"), "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.max("set").alias("set")), "near-sets")
     pairs = led.filter("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
     compared = keep(compare(with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")), "near-compared")
