@@ -210,7 +210,7 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, n_bands: int = 24,
     copies = marks.select("doc_id", "n_shingles", "name").join(reps.select("name", "rep", "copies"), "name", "left")
     roots = components(links.unionByName(_several(copies)), "a", "b")
     roots = roots.select(F.col("node").alias("rep"), "root")
-    out = copies.join(roots, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    out = copies.join(roots, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
