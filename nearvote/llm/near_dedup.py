@@ -6,7 +6,7 @@
    others over all its bands. Members are compared with their leaders on full sets; links make components.
 3. Buckets that still hold several components are compared in full, in blocks of bounded size; blocks inside one
    component need no comparison. Buckets with common members make a family, which is compared once. In a family of
-   more than MOST_FAMILY members each bucket is compared for itself, in blocks that follow the distance to its leader:
+   more than MOST_FAMILY rows each bucket is compared for itself, in blocks that follow the distance to its leader:
    1 - Jaccard is a metric, so blocks whose distances differ by more than 1 - threshold hold no link and never meet.
 4. All links make the final components.
 
@@ -32,7 +32,7 @@ SKETCH = "doc_id bigint, n_shingles bigint, name binary, bands array<bigint>"
 LINKS = "a bigint, b bigint, same bigint, n_a bigint, n_b bigint"
 BLOCK = 256
 BINS = 50  # of the distance to the leader
-MOST_FAMILY = 1 << 14
+MOST_FAMILY = 1 << 16  # rows (member, bucket) of a family that is compared as one
 
 
 def sketch(docs: DataFrame, words: int, n_bands: int, rows: int, group: int = 64) -> DataFrame:
@@ -229,7 +229,7 @@ def _rest(led: DataFrame, compared: DataFrame, roots: DataFrame, sets: DataFrame
     rows = keep(rows.join(once, "band"), "near-mixed")
     families = components(rows, "least", "doc").withColumnsRenamed({"node": "doc", "root": "family"})
     rows = rows.join(families, "doc", "left").withColumn("family", F.coalesce("family", "doc"))
-    large = rows.groupBy("family").agg(F.count_distinct("doc").alias("members")).filter(F.col("members") > MOST_FAMILY).select("family")
+    large = rows.groupBy("family").count().filter(F.col("count") > MOST_FAMILY).select("family")
     small = rows.join(large, "family", "left_anti").select(F.xxhash64("family").alias("zone"), F.lit(0).alias("bin"), "doc", "comp").distinct()
     distance = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc"), (1 - F.col("same") / (F.col("n_a") + F.col("n_b") - F.col("same"))).alias("far"))
     wide = rows.join(large, "family", "left_semi").join(distance, ["leader", "doc"], "left")
