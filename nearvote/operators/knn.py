@@ -18,7 +18,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 BLOCK = "list_id int, n int, ids binary, labels binary, data binary"
 TOP = "qid bigint, orig_id bigint, dist bigint, label tinyint, list_id int"
-REF_ROWS, QUERY_ROWS = 8192, 512
+REF_ROWS, QUERY_ROWS, FLAT_ROWS = 8192, 512, 4096
 
 
 def arrow(schema: str) -> pa.Schema:
@@ -85,7 +85,9 @@ def _meet(pairs: DataFrame, dims: int, k: int) -> DataFrame:
             for row in batch.to_pylist():
                 qid = np.frombuffer(row["q_ids"], np.int64)
                 ids, labels = np.frombuffer(row["r_ids"], np.int64), np.frombuffer(row["r_labels"], np.int8)
-                place, dist = least(np.frombuffer(row["q_data"], np.int16).reshape(-1, dims), np.frombuffer(row["r_data"], np.int16).reshape(-1, dims), k)
+                q, r = (np.frombuffer(row[c], np.int16).reshape(-1, dims) for c in ("q_data", "r_data"))
+                found = [least(q[a : a + QUERY_ROWS], r, k) for a in range(0, len(q), QUERY_ROWS)]
+                place, dist = (np.concatenate(x) for x in zip(*found))
                 wide = place.shape[1]
                 flat = place.reshape(-1)
                 cols = [np.repeat(qid, wide), ids[flat], dist.reshape(-1), labels[flat], np.full(len(flat), row["list_id"], np.int32)]
@@ -110,17 +112,18 @@ def search_lists(probes: DataFrame, refs: DataFrame, dims: Sequence[str], k: int
 
 def flat(queries: DataFrame, refs: DataFrame, dims: Sequence[str], k: int = 5) -> DataFrame:
     """Exact search of a stated query set (qid, dims...) against all references (orig_id, label, dims...), block by
-    block. Query blocks are numbered, each reference block is sent to every number, and the two meet in an equi-join.
+    block. Query blocks are numbered and copied to every salt; a reference block has one salt and is sent to every
+    number; the two meet in an equi-join. So references are copied once for some thousand queries.
     Rows: qid, orig_id, dist, label, rank. Fewer than k references give fewer rows."""
     spark = refs.sparkSession
-    n = queries.count()
-    count = max(1, -(-n // (QUERY_ROWS // 2)))
-    dealt = queries.withColumn("list_id", F.pmod(F.xxhash64("qid"), F.lit(count)).cast("int"))
-    q = pack(dealt, "qid", dims, None, QUERY_ROWS).select("list_id", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = pack(refs.repartition(parts), "orig_id", dims, "label", REF_ROWS, by_list=False)
-    r = r.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("list_id"), F.col("ids").alias("r_ids"), F.col("labels").alias("r_labels"), F.col("data").alias("r_data"))
-    return top(_meet(q.join(r, "list_id"), len(dims), k), k).drop("list_id")
+    count = max(1, -(-queries.count() // (FLAT_ROWS // 2)))
+    dealt = queries.withColumn("list_id", F.pmod(F.xxhash64("qid"), F.lit(count)).cast("int"))
+    q = pack(dealt, "qid", dims, None, FLAT_ROWS).select("list_id", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    r = pack(refs, "orig_id", dims, "label", REF_ROWS, by_list=False)
+    r = r.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("list_id"), F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("salt"), F.col("ids").alias("r_ids"), F.col("labels").alias("r_labels"), F.col("data").alias("r_data"))
+    return top(_meet(q.join(r, ["list_id", "salt"]).drop("salt"), len(dims), k), k).drop("list_id")
 
 
 def vote(neighbours: DataFrame, queries: DataFrame | None = None, k: int = 5) -> DataFrame:
