@@ -52,39 +52,40 @@ def widest(rows: DataFrame, by: str, dims: list[str]) -> DataFrame:
     return wide.select(by, "n", pick.alias("dim"))
 
 
-def split_level(rows: DataFrame, dims: list[str], left_depth: int) -> DataFrame:
+def split_level(rows: DataFrame, dims: list[str]) -> DataFrame:
     """One level of the balanced tree over (node, orig_id, dims...): the lower half of each node by (widest
     dimension, orig_id) becomes child 2n, the rest 2n + 1; a node of one row goes left-most.
 
-    No node is sorted: a histogram of values, then one of id blocks inside the median value, find the place of the
-    cut, and only the block on the cut is ranked."""
-    chosen = widest(rows, "node", dims)
-    if len(dims) > 1:
-        value = F.element_at(F.array(*[F.col(d).cast("int") for d in dims]), F.col("dim") + 1)
-    else:
-        value = F.col(dims[0]).cast("int")
-    r = rows.join(chosen, "node").withColumn("x", value).withColumn("block", F.expr(f"orig_id div {ID_BLOCK}"))
-    half = F.floor(F.col("n") / 2)
-    upto = Window.partitionBy("node").orderBy("x")
-    values = r.groupBy("node", "n", "x").agg(F.count("*").alias("c")).withColumn("end", F.sum("c").over(upto))
-    at = values.filter((F.col("end") > half) & (F.col("end") - F.col("c") <= half)).select("node", F.col("x").alias("cut_x"), (half - F.col("end") + F.col("c")).alias("want"))
-    r = r.join(at, "node")
-    ties = r.filter("x = cut_x").groupBy("node", "want", "block").agg(F.count("*").alias("c")).withColumn("end", F.sum("c").over(Window.partitionBy("node").orderBy("block")))
-    on = ties.filter((F.col("end") > F.col("want")) & (F.col("end") - F.col("c") <= F.col("want"))).select("node", F.col("block").alias("cut_block"), (F.col("want") - F.col("end") + F.col("c")).alias("some"))
-    r = r.join(on, "node", "left")
-    edge = r.filter("x = cut_x and block = cut_block").select("node", "orig_id", F.row_number().over(Window.partitionBy("node").orderBy("orig_id")).alias("k"))
-    r = r.join(edge, ["node", "orig_id"], "left")
-    low = (F.col("x") < F.col("cut_x")) | ((F.col("x") == F.col("cut_x")) & ((F.col("block") < F.col("cut_block")) | ((F.col("block") == F.col("cut_block")) & (F.col("k") <= F.col("some")))))
-    child = F.when(F.col("n") <= 1, F.col("node") * 2).otherwise(F.col("node") * 2 + F.when(low, 0).otherwise(1))
-    return r.select(child.cast("int").alias("node"), "orig_id", *[c for c in rows.columns if c not in ("node", "orig_id")])
+    No node is sorted: a histogram of values, then one of id blocks inside the median value, find the cut, and only
+    the block on the cut is ranked. What reaches the driver, and goes back with the plan, is a row a node: at most
+    16384."""
+    spark = rows.sparkSession
+
+    def small(found: list, schema: str) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([tuple(r) for r in found], schema))
+
+    chosen = small(widest(rows, "node", dims).select("node", "n", "dim").collect(), "node int, n bigint, dim int")
+    value = F.element_at(F.array(*[F.col(d).cast("int") for d in dims]), F.col("dim") + 1)
+    r = rows.join(chosen, "node").withColumn("x", value).withColumn("half", F.floor(F.col("n") / 2))
+    values = r.groupBy("node", "half", "x").agg(F.count("*").alias("c")).withColumn("end", F.sum("c").over(Window.partitionBy("node").orderBy("x")))
+    inside = (F.col("end") >= F.col("want")) & (F.col("end") - F.col("c") < F.col("want"))
+    at = values.withColumn("want", F.greatest("half", F.lit(1))).filter(inside).select("node", "x", (F.col("want") - F.col("end") + F.col("c")).alias("want"))
+    cuts = small(at.collect(), "node int, cut_x int, want bigint")
+    tied = r.join(cuts, "node").filter("x = cut_x").select("node", "orig_id", "want", F.expr(f"orig_id div {ID_BLOCK}").alias("block"))
+    ties = tied.groupBy("node", "want", "block").agg(F.count("*").alias("c")).withColumn("end", F.sum("c").over(Window.partitionBy("node").orderBy("block")))
+    edge = small(ties.filter(inside).select("node", "block", (F.col("want") - F.col("end") + F.col("c")).alias("some")).collect(), "node int, block bigint, some bigint")
+    ranked = tied.join(edge, ["node", "block"]).withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("orig_id"))).filter("k = some")
+    last = small(ranked.select("node", "orig_id").collect(), "node int, cut_id bigint")
+    low = (F.col("x") < F.col("cut_x")) | ((F.col("x") == F.col("cut_x")) & (F.col("orig_id") <= F.col("cut_id")))
+    child = F.col("node") * 2 + F.when((F.col("n") <= 1) | low, 0).otherwise(1)
+    return r.join(cuts, "node").join(last, "node").select(child.cast("int").alias("node"), "orig_id", *[c for c in rows.columns if c not in ("node", "orig_id")])
 
 
 def balanced_lists(refs: DataFrame, nlist: int, dims: list[str] = S.Q) -> DataFrame:
     """refs with ``list_id`` from the balanced tree."""
     rows = refs.withColumn("node", F.lit(0))
-    depth = depth_of(nlist)
-    for level in range(depth):
-        rows = cut(split_level(rows, dims, depth - level - 1), "tree")
+    for _ in range(depth_of(nlist)):
+        rows = cut(split_level(rows, dims), "tree")
     return rows.withColumnRenamed("node", "list_id")
 
 
