@@ -72,7 +72,7 @@ class Letters:
         unique, inverse = np.unique(every, return_inverse=True)
         rows = np.repeat(np.arange(len(texts)), sizes)
         out = np.zeros((len(texts), self.dims), np.float32)
-        step = 8192  # n-grams at a time, so that neither factor grows with the batch
+        step = 2048  # n-grams at a time, so that neither factor grows with the batch
         order = np.argsort(inverse, kind="stable")
         sorted_inverse, sorted_rows = inverse[order], rows[order]
         for at in range(0, len(unique), step):

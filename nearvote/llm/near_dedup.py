@@ -35,7 +35,7 @@ BINS = 50  # of the distance to the leader
 MOST_FAMILY = 1 << 16  # rows (member, bucket) of a family that is compared as one
 
 
-def sketch(docs: DataFrame, words: int, n_bands: int, rows: int, group: int = 64) -> DataFrame:
+def sketch(docs: DataFrame, words: int, n_bands: int, rows: int, group: int = 16) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit name (null if empty) and its band names."""
 
     def make():

@@ -18,7 +18,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordNames:
     """64-bit names of words, each distinct word hashed once."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 150_000):
         self.limit, self.known = limit, {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
