@@ -59,6 +59,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = None
     for name, stage in STAGES:
-        docs, _ = common.stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, new = common.stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if path:
+            common.drop_path(spark, path)
+        path = new
     return docs

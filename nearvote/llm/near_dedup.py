@@ -182,11 +182,10 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, n_bands: int = 24,
     """
     spark = docs.sparkSession
     docs = common.pick(docs, "doc_id", "text")
-    made = []
+    made: dict[str, str] = {}
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        out, path = common.stage_table(df, name)
-        made.append(path)
+        out, made[name] = common.stage_table(df, name)
         return out
 
     marks = keep(sketch(docs, words, n_bands, rows), "near-sketch")
@@ -207,6 +206,9 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, n_bands: int = 24,
     roots = keep(components(first, "a", "b"), "near-roots")
     rest = _rest(led, compared, roots, sets, percent, keep)
     links = keep(first.unionByName(rest), "near-links")
+    for name, path in made.items():
+        if name not in ("near-sketch", "near-reps", "near-links"):  # the rows below are read from these
+            common.drop_path(spark, path)
     copies = marks.select("doc_id", "n_shingles", "name").join(reps.select("name", "rep", "copies"), "name", "left")
     roots = components(links.unionByName(_several(copies)), "a", "b")
     roots = roots.select(F.col("node").alias("rep"), "root")
