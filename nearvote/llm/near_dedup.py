@@ -32,6 +32,7 @@ SKETCH = "doc_id bigint, n_shingles bigint, name binary, bands array<bigint>"
 LINKS = "a bigint, b bigint, same bigint, n_a bigint, n_b bigint"
 BLOCK = 256
 BINS = 50  # of the distance to the leader
+MOST_BROADCAST = 100_000  # names of large families
 MOST_FAMILY = 1 << 16  # rows (member, bucket) of a family that is compared as one
 
 
@@ -231,12 +232,18 @@ def _rest(led: DataFrame, compared: DataFrame, roots: DataFrame, sets: DataFrame
     rows = keep(rows.join(once, "band"), "near-mixed")
     families = components(rows, "least", "doc").withColumnsRenamed({"node": "doc", "root": "family"})
     rows = rows.join(families, "doc", "left").withColumn("family", F.coalesce("family", "doc"))
-    large = rows.groupBy("family").count().filter(F.col("count") > MOST_FAMILY).select("family")
-    small = rows.join(large, "family", "left_anti").select(F.xxhash64("family").alias("zone"), F.lit(0).alias("bin"), "doc", "comp").distinct()
-    distance = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc"), (1 - F.col("same") / (F.col("n_a") + F.col("n_b") - F.col("same"))).alias("far"))
-    wide = rows.join(large, "family", "left_semi").join(distance, ["leader", "doc"], "left")
-    wide = wide.select(F.col("band").alias("zone"), F.floor(F.coalesce("far", F.lit(0.0)) * BINS).cast("int").alias("bin"), "doc", "comp")
-    return compare_blocks(_in_blocks(keep(small.unionByName(wide), "near-zones"), percent).join(sets.withColumnRenamed("doc_id", "doc"), "doc"), percent)
+    large = keep(rows.groupBy("family").count().filter(F.col("count") > MOST_FAMILY).select("family"), "near-large")
+    many = large.count()
+    zones = rows
+    if many:
+        some = F.broadcast(large) if many <= MOST_BROADCAST else large
+        zones = rows.join(some, "family", "left_anti")
+    zones = zones.select(F.xxhash64("family").alias("zone"), F.lit(0).alias("bin"), "doc", "comp").distinct()
+    if many:
+        distance = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc"), (1 - F.col("same") / (F.col("n_a") + F.col("n_b") - F.col("same"))).alias("far"))
+        wide = rows.join(some, "family", "left_semi").join(distance, ["leader", "doc"], "left")
+        zones = zones.unionByName(wide.select(F.col("band").alias("zone"), F.floor(F.coalesce("far", F.lit(0.0)) * BINS).cast("int").alias("bin"), "doc", "comp"))
+    return compare_blocks(_in_blocks(keep(zones, "near-zones"), percent).join(sets.withColumnRenamed("doc_id", "doc"), "doc"), percent)
 
 
 def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
