@@ -288,7 +288,7 @@ def removed(docs: DataFrame, length: int = 50, chunk_bytes: int = 4 << 20, range
     chunks, chunk_path = common.stage_table(chunks_of(common.pick(docs, "doc_id", "text"), chunk_bytes), "sub-chunks")
     total = chunks.agg(F.sum(F.length("data"))).first()[0] or 0
     keys = max(1, total)  # about as many sampled positions as compressed bytes
-    parts = max(1, math.ceil(keys / range_names))
+    parts = max(common.shuffle_parts(spark), math.ceil(keys / range_names))
     bits = min(64, max(36, math.ceil(math.log2(keys)) + 12))
 
     def sizes_of(names: np.ndarray, wide: int) -> list[int]:
