@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are read in blocks of bounded size. For a block, a first pass counts in how many documents each of its
-n-grams stands; n-grams that are common beside the others of their item are no seeds. A second pass finds seeds in
-each document, and aligns the text around them with the item, word by word, so edited copies score as well.
+Test items are read in blocks of bounded size. Every n-gram that a document shares with an item is a seed, however
+common it is. The text around the seeds is aligned with the item, word by word, so edited copies score as well;
+stretches whose words cannot reach the least score, in whatever order, are left out before.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common
 
@@ -82,17 +81,19 @@ class Items:
         same = self.grams[k] == codes
         return at[same], k[same]
 
-    def seeds(self, counts: np.ndarray, docs: int, few: int = 8, share: float = 1e-4, times: int = 4) -> np.ndarray:
-        """Per posting: whether its n-gram is rare enough to be a seed of that item. The bound follows the item's own
-        median, so an item that leaked into most of the corpus keeps its seeds."""
-        gram = np.repeat(np.arange(len(self.grams)), self.last - self.first)
-        df = counts[gram]
-        out = np.zeros(len(gram), bool)
-        for k in range(len(self.ids)):
-            mine = self.name == k
-            if mine.any():
-                out[mine] = df[mine] <= max(few, share * docs, times * np.median(df[mine]))
-        return out
+    def seeds(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Per item that shares an n-gram with the document: its number, and where in the document the item would
+        start by each shared n-gram, in order."""
+        at, gram = self.hits(ids)
+        many = self.last[gram] - self.first[gram]
+        x = np.arange(many.sum()) + np.repeat(self.first[gram] - np.cumsum(many) + many, many)
+        start, name = np.repeat(at, many) - self.place[x], self.name[x]
+        order = np.lexsort((start, name))
+        start, name = start[order], name[order]
+        cuts = np.flatnonzero(name[1:] != name[:-1]) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(name)]):
+            if a < b:
+                yield int(name[a]), start[a:b]
 
 
 def align(item: np.ndarray, text: np.ndarray, match: int = 2, miss: int = 1, gap: int = 1) -> tuple[int, int]:
@@ -115,33 +116,39 @@ def align(item: np.ndarray, text: np.ndarray, match: int = 2, miss: int = 1, gap
     return best, end
 
 
-def find(items: Items, seed: np.ndarray, ids: np.ndarray, least: float, slack: float = 0.25) -> Iterator[tuple[int, float, int, int, int]]:
+def most(item: np.ndarray, text: np.ndarray, mark: np.ndarray, match: int = 2, miss: int = 1) -> int:
+    """No alignment scores more: of every stretch of ``text``, words of the item count as matches and others as
+    misses. ``mark`` has a False for each word number."""
+    mark[item] = True
+    run = np.cumsum(np.where(mark[text], match, -miss))
+    mark[item] = False
+    return int(min(match * len(item), (run - np.minimum.accumulate(np.append(0, run))[:-1]).max(initial=0)))
+
+
+def find(items: Items, ids: np.ndarray, least: float, slack: float = 0.25) -> Iterator[tuple[int, float, int, int, int]]:
     """(item id, score, seeds, first word, end word) of the items that the document holds: best stretch of each."""
-    at, gram = items.hits(ids)
-    by_item: dict[int, list[tuple[int, int]]] = {}
-    for p, g in zip(at.tolist(), gram.tolist()):
-        for x in range(items.first[g], items.last[g]):
-            if seed[x]:
-                by_item.setdefault(int(items.name[x]), []).append((p, int(items.place[x])))
-    raw = ids.tobytes() if by_item or items.short else b""
+    raw = mark = None
     for k in items.short:
+        raw = raw or ids.tobytes()
         p = _whole(raw, items.bytes[k], 0)
         if p >= 0:
             yield items.ids[k], 1.0, 0, p, p + len(items.words[k])
-    for k, hits in sorted(by_item.items()):
+    for k, starts in items.seeds(ids):
         item = items.words[k]
         size = len(item)
+        mark = np.zeros(len(items.vocabulary) + 1, bool) if mark is None else mark
+        extra = 4 + int(slack * size)
+        low, high = np.maximum(0, starts - extra), np.minimum(len(ids), starts + size + extra)
+        cuts = np.flatnonzero(low[1:] > high[:-1]) + 1
+        spans = zip(low[np.append(0, cuts)].tolist(), high[np.append(cuts, len(high)) - 1].tolist())
+        spans = [(a, b) for a, b in spans if most(item, ids[a:b], mark) / (2 * size) >= least]
+        if not spans:
+            continue
+        raw = raw or ids.tobytes()
         p = _whole(raw, items.bytes[k], 0)
         if p >= 0:
-            yield items.ids[k], 1.0, len(hits), p, p + size
+            yield items.ids[k], 1.0, len(starts), p, p + size
             continue
-        extra = 4 + int(slack * size)
-        spans: list[list[int]] = []
-        for a, b in sorted((max(0, p - o - extra), min(len(ids), p - o + size + extra)) for p, o in hits):
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], b)
-            else:
-                spans.append([a, b])
         top = (0, 0, 0)
         for a, b in spans:
             got, end = align(item, ids[a:b])
@@ -150,7 +157,7 @@ def find(items: Items, seed: np.ndarray, ids: np.ndarray, least: float, slack: f
         if score >= least:
             a, end = -top[1], top[2]
             _, back = align(item[::-1], ids[a : a + end][::-1])
-            yield items.ids[k], score, len(hits), a + end - back, a + end
+            yield items.ids[k], score, len(starts), a + end - back, a + end
 
 
 def _whole(raw: bytes, part: bytes, at: int) -> int:
@@ -177,50 +184,28 @@ def blocks(benchmark: DataFrame, most_words: int = 1_000_000) -> Iterator[list[t
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.4, most_words: int = 1_000_000) -> DataFrame:
     """A row per document and test item it holds: doc_id, item_id, score (of the alignment, as a share of that of a
-    verbatim copy), n_seeds, and the stretch's words [first_word, end_word).
+    verbatim copy), n_seeds (the n-grams of the item that the document holds, by place in both), and the stretch's
+    words [first_word, end_word).
 
     Null and empty texts and items hold nothing; an item with fewer than ``n`` words is found verbatim only.
     Documents that repeat get rows each; items with equal texts too. Empty tables give no rows; further columns are
-    not read. Each block of items is one stated set against all documents: two passes, no shuffle of texts.
+    not read. Each block of items is one stated set against all documents: one pass, no shuffle.
     """
     rows = common.pick(docs, "doc_id", "text")
     out = []
     for some in blocks(benchmark, most_words):
-        items = Items(some, n)
-        out.append(_second(rows, items, _seeds(rows, items), least))
+        out.append(_held(rows, Items(some, n), least))
     return common.union_all(out) if out else docs.sparkSession.createDataFrame([], ROWS)
 
 
-def _seeds(rows: DataFrame, items: Items) -> np.ndarray:
-    """The counting pass: in how many documents each n-gram of the block stands. A task sends a row an n-gram it met."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs_here = np.zeros(len(items.grams), np.int64), 0
-        for batch in batches:
-            for part in common.pieces(batch):
-                for text in common.texts_of(part):
-                    docs_here += 1
-                    total[np.unique(items.hits(items.numbers(text))[1])] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(np.append(at, -1), pa.int64()), "c": pa.array(np.append(total[at], docs_here), pa.int64())})
-
-    counts, n_docs = np.zeros(len(items.grams), np.int64), 0
-    for r in rows.mapInArrow(count, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c")).toLocalIterator():
-        if r.gram < 0:
-            n_docs = r.c
-        else:
-            counts[r.gram] = r.c
-    return items.seeds(counts, n_docs)
-
-
-def _second(rows: DataFrame, items: Items, seed: np.ndarray, least: float) -> DataFrame:
+def _held(rows: DataFrame, items: Items, least: float) -> DataFrame:
     names = [f.split()[0] for f in ROWS.split(", ")]
 
     def make():
         def step(batch):
             found = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts_of(batch)):
-                found += [(doc, *x) for x in find(items, seed, items.numbers(text), least)]
+                found += [(doc, *x) for x in find(items, items.numbers(text), least)]
             return dict(zip(names, zip(*found))) if found else {x: [] for x in names}
 
         return step
@@ -232,16 +217,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.4,
     """The rows of ``docs`` that hold no test item, all columns kept. One pass decides and filters for each block."""
     out = docs
     for some in blocks(benchmark, most_words):
-        items = Items(some, n)
-        out = _without(out, items, _seeds(common.pick(docs, "doc_id", "text"), items), least)
+        out = _without(out, Items(some, n), least)
     return out
 
 
-def _without(docs: DataFrame, items: Items, seed: np.ndarray, least: float) -> DataFrame:
+def _without(docs: DataFrame, items: Items, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.pieces(batch):
-                keep = [next(find(items, seed, items.numbers(t), least), None) is None for t in common.texts_of(part)]
+                keep = [next(find(items, items.numbers(t), least), None) is None for t in common.texts_of(part)]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

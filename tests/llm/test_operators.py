@@ -228,6 +228,29 @@ def test_contamination(spark, docs, empty):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_contamination_by_repeated_partial_copies(spark):
+    """Copies with fewer than half of the item's n-grams, in most documents: all their n-grams are common."""
+    rng = random.Random(19)
+    items = [(k, prose(rng, 38, 5000)) for k in range(5)]
+    part, edited = items[1][1].split()[:17], items[2][1].split()
+    for k in range(3, 38, 4):
+        edited[k] = f"changed{k}"
+    rows = [(k, f"{prose(rng, 20, 5000)} {' '.join(part)} {prose(rng, 20, 5000)}") for k in range(300)]
+    rows += [(1000 + k, f"{prose(rng, 20, 5000)} {' '.join(edited)} {prose(rng, 20, 5000)}") for k in range(300)]
+    rows += [(2000 + k, f"{prose(rng, 20, 5000)} {' '.join(part[:8])} {prose(rng, 20, 5000)}") for k in range(50)]  # below the least score
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontam.contaminated(table(spark, rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [*[(k, 1) for k in range(300)], *[(1000 + k, 2) for k in range(300)]]
+    assert {r.n_seeds for r in got if r.item_id == 1} == {15}
+    assert sorted(r.doc_id for r in decontam.clean(table(spark, rows), bench).collect()) == [2000 + k for k in range(50)]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=12), st.lists(st.integers(0, 6), min_size=1, max_size=20))
+def test_alignment_bound(a, b):
+    assert decontam.most(np.array(a), np.array(b), np.zeros(7, bool)) >= naive_align(a, b)
+
+
 # 4 License scans
 
 
