@@ -3,12 +3,14 @@
 Templates are cut into pieces of at most 24 words. Pieces of similar length share a scale: a window width and stride
 for which every piece lies whole in some window, and for which the piece's pairs of words are at least 0.29 of the
 window's. A window and a piece meet if one of ``n_bands`` MinHash bands of one row agrees, so a piece that stands
-whole in a window is found with probability 1 - (1 - share)**n_bands: 0.9997 at the least share, with 24 bands. What
-meets is verified exactly: the share of the piece's five-word shingles that stand in the window.
-
-Before windows are made, texts without any anchor word are left out. An anchor is a word of a piece that lies in more
-than a fifth of the piece's shingles; a text without it holds less than four fifths of them. So the anchors of all
-pieces lose no match, whatever the band settings.
+whole in a window is found with probability 1 - (1 - share)**n_bands: 0.9997 at the least share, with 24 bands. One
+changed word costs a piece of 24 words two of its 23 pairs, a ten-word piece with a changed end word still has 0.25
+of the window's and 0.999. Pieces only retrieve: each gives those of its five-word shingles that stand in the windows
+it meets, and a template is decided once, by the share of its distinct shingles found so.
+
+Before windows are made, texts without any anchor word are left out. A text that holds four fifths of a template's
+distinct shingles holds one of any shingles that are more than a fifth of them. An anchor is the longest word of each
+of so many shingles of the template. So the anchors of all templates lose no match, whatever the band settings.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS = 5  # of a shingle
-LEAST = 0.8  # of a piece's shingles, and of a template's pieces
+LEAST = 0.8  # of a template's shingles
 PIECE, PIECE_STEP = 24, 12
 # Longest piece in words, window width, stride: width - stride + 1 is at least the piece.
 SCALES = ((4, 6, 2), (9, 12, 4), (PIECE, 32, 8))
@@ -66,31 +68,40 @@ def _shingles(w: str, k: str) -> str:
 
 
 def pieces_of(templates: DataFrame) -> DataFrame:
-    """(template_id, license, piece, w, k, shingles, scale, anchor) of every template with a word."""
+    """(template_id, license, piece, w, k, shingles, scale) of every template with a word."""
     w = templates.select("template_id", "license", words(F.col("text")).alias("all")).filter("size(all) > 0")
     cuts = F.expr(f"case when size(all) <= {PIECE} then array(0) else sequence(0, size(all) - {PIECE} + {PIECE_STEP} - 1, {PIECE_STEP}) end")
     rows = w.select("template_id", "license", "all", F.posexplode(cuts).alias("piece", "at"))
     rows = rows.select("template_id", "license", "piece", F.expr(f"slice(all, least(at, greatest(size(all) - {PIECE}, 0)) + 1, {PIECE})").alias("w"))
     rows = rows.withColumn("k", F.expr(f"least({WORDS}, size(w))")).withColumn("shingles", F.expr(_shingles("w", "k")))
     scale = F.expr("case " + " ".join(f"when size(w) <= {most} then {n}" for n, (most, _, _) in enumerate(SCALES)) + " end")
-    # The longest word that lies in more than a fifth of the places a shingle can start; the first of equals.
-    covers = "least(i, size(w) - k) - greatest(i - k + 1, 0) + 1"
-    best = f"transform(sequence(0, size(w) - 1), i -> struct(if(5 * ({covers}) > size(w) - k + 1, length(w[i]), -1) as n, -i as i))"
-    return rows.withColumn("scale", scale).withColumn("anchor", F.expr(f"element_at(w, 1 - array_max({best}).i)"))
+    return rows.withColumn("scale", scale)
+
+
+def wholes_of(templates: DataFrame) -> DataFrame:
+    """(template_id, n_shingles, anchors) of every template with a word. Of the distinct shingles, those with the
+    longest words give the anchors; the words that sort first, of equals."""
+    w = templates.select("template_id", words(F.col("text")).alias("all")).filter("size(all) > 0")
+    rows = w.withColumn("k", F.expr(f"least({WORDS}, size(all))")).withColumn("shingles", F.expr(_shingles("all", "k")))
+    longest = "array_min(transform(split(s, ' '), x -> struct(-length(x) as n, x as x)))"
+    anchors = f"array_distinct(transform(slice(array_sort(transform(shingles, s -> {longest})), 1, cast(size(shingles) / 5 as int) + 1), y -> y.x))"
+    return rows.select("template_id", F.size("shingles").alias("n_shingles"), F.expr(anchors).alias("anchors"))
 
 
 def scan(docs: DataFrame, templates: DataFrame, n_bands: int = 24) -> DataFrame:
-    """A row per doc_id and template found in it: doc_id, template_id, license, pieces_found, pieces, containment (the
-    least over found pieces), first_word (of the first window that holds one).
+    """A row per doc_id and template found in it: doc_id, template_id, license, pieces_found (those with at least four
+    fifths of their shingles found), pieces, containment (share of the template's distinct shingles found), first_word
+    (of the first window that holds one).
 
-    A piece is found where a window holds at least four fifths of its shingles, a template where at least four fifths
-    of its pieces are. Null, empty and wordless texts and templates hold nothing; rows that repeat a doc_id count as
+    A template is found where at least four fifths of its distinct shingles are, wherever they stand in the text.
+    Null, empty and wordless texts and templates hold nothing; rows that repeat a doc_id count as
     one document; a null doc_id is a document of its own. Empty tables give no rows; further columns are not read.
     Texts stay in their partition: up to MOST_BROADCAST pieces go to the windows, and only
-    found pieces are exchanged; with more, windows and pieces are exchanged by band.
+    found shingles are exchanged; with more, windows and pieces are exchanged by band.
     """
-    pieces = pieces_of(templates.select(templates["template_id"], templates["license"], templates["text"]))
-    anchors = [r.anchor for r in pieces.select("anchor").distinct().limit(MOST_ANCHORS + 1).collect()]
+    templates = templates.select(templates["template_id"], templates["license"], templates["text"])
+    pieces, wholes = pieces_of(templates), wholes_of(templates)
+    anchors = [r.anchor for r in wholes.select(F.explode("anchors").alias("anchor")).distinct().limit(MOST_ANCHORS + 1).collect()]
     scales = sorted(r.scale for r in pieces.select("scale").distinct().collect())
     rows = docs.select(docs["doc_id"], F.lower(docs["text"]).alias("low")).filter("low is not null")
     if len(anchors) <= MOST_ANCHORS:
@@ -108,9 +119,10 @@ def scan(docs: DataFrame, templates: DataFrame, n_bands: int = 24) -> DataFrame:
     keyed = pieces.withColumn("g", _pairs("w")).withColumn("band", _minima("g", n_bands)).select("template_id", "license", "piece", "k", "shingles", "scale", F.explode_outer("band").alias("band"))
     if pieces.count() <= MOST_BROADCAST:
         keyed = F.broadcast(keyed)
-    held = F.expr(f"size(array_intersect(shingles, {_shingles('ww', 'k')})) / size(shingles)")
-    found = cut.join(keyed, ["scale", "band"]).filter("size(ww) >= k").withColumn("held", held).filter(F.col("held") >= LEAST)
-    per = found.groupBy("doc_id", "template_id", "license", "piece").agg(F.max("held").alias("held"), F.min("at").alias("at"))
-    total = pieces.groupBy("template_id").agg(F.count("*").alias("pieces"))
-    out = per.groupBy("doc_id", "template_id", "license").agg(F.count("*").alias("pieces_found"), F.min("held").alias("containment"), F.min("at").alias("first_word")).join(total, "template_id")
-    return out.filter(F.col("pieces_found") >= LEAST * F.col("pieces")).select("doc_id", "template_id", "license", "pieces_found", "pieces", "containment", "first_word")
+    held = F.expr(f"array_intersect(shingles, {_shingles('ww', 'k')})")
+    met = cut.join(keyed, ["scale", "band"]).filter("size(ww) >= k").select("doc_id", "template_id", "license", "piece", F.size("shingles").alias("n"), "at", F.explode(held).alias("shingle"))
+    per = met.groupBy("doc_id", "template_id", "license", "piece", "n").agg(F.collect_set("shingle").alias("found"), F.min("at").alias("at"))
+    total = pieces.groupBy("template_id").agg(F.count("*").alias("pieces")).join(wholes.groupBy("template_id").agg(F.max("n_shingles").alias("n_shingles")), "template_id")
+    whole = per.groupBy("doc_id", "template_id", "license").agg(F.count_if(F.size("found") >= LEAST * F.col("n")).alias("pieces_found"), F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n_found"), F.min("at").alias("first_word"))
+    out = whole.join(total, "template_id").withColumn("containment", F.col("n_found") / F.col("n_shingles"))
+    return out.filter(F.col("containment") >= LEAST).select("doc_id", "template_id", "license", "pieces_found", "pieces", "containment", "first_word")

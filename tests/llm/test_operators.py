@@ -279,6 +279,37 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan(docs, license_scan.templates(spark).limit(0)).count() == 0
 
 
+def test_licenses_with_a_changed_word(spark):
+    """Every position of one substitution, one cut and one added word, in each template: as the whole text's
+    containment says."""
+    norm = lambda t: re.findall(r"[^\W_]+", t.lower())
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    known = {k: norm(t) for k, _, t in license_scan.TEMPLATES}
+    rows, want = [], set()
+    for k, w in known.items():
+        for i in range(len(w)):
+            for kind, new in enumerate((["changed"], [], [w[i], "added"])):
+                text = ["before"] * 9 + w[:i] + new + w[i + 1 :] + ["after"] * 9
+                rows.append((1000 * k + 10 * i + kind, " ".join(text)))
+                have = {tuple(text[j : j + n]) for n in range(1, 6) for j in range(len(text) - n + 1)}
+                want |= {(rows[-1][0], j) for j, x in known.items() if len(shingles(x) & have) >= 0.8 * len(shingles(x))}
+    got = license_scan.scan(table(spark, rows), license_scan.templates(spark)).collect()
+    assert sorted((r.doc_id, r.template_id) for r in got) == sorted(want)
+    assert all(0.8 <= r.containment <= 1 and r.pieces_found <= r.pieces for r in got)
+    assert sum(d // 1000 == t and d % 10 == 0 for d, t in want) > 150  # substitutions
+
+
+def test_license_anchors_with_repeated_shingles(spark):
+    """Text without the frequent words of one part; a template that repeats a part."""
+    part, rest = [f"aa{k}" for k in range(6)], [f"b{k}" for k in range(40)]
+    one = part * 6 + rest
+    rows = [(1, " ".join(part * 2 + rest)), (2, " ".join(rest)), (3, " ".join(part * 6))]
+    got = license_scan.scan(table(spark, rows), spark.createDataFrame([(1, "x", " ".join(one))], "template_id int, license string, text string")).collect()
+    distinct = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    want = [d for d, t in rows if len(distinct(one) & distinct(t.split())) >= 0.8 * len(distinct(one))]
+    assert sorted(r.doc_id for r in got) == want
+
+
 def test_license_scales_hold_every_piece():
     for n, (most, width, stride) in enumerate(license_scan.SCALES):
         least = 3 if n == 0 else license_scan.SCALES[n - 1][0] + 1
