@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearvote.llm import common, decontam, langid, near_dedup, packing, secret_scan
 
-LEAST_SCORE = 0.05  # cosine; prose scores 0.3 and more, even in a few words
+LEAST_SCORE = 0.05  # cosine, of texts with 64 n-grams or more; a few words may score as low as chance
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without an identifiable language: no letter, or next to no likeness to any prototype.
+    """Drops documents without an identifiable language: no letter, or, beyond a few words, next to no likeness
+    to any prototype.
 
     The model learns from the labelled part of this stage's own input. Where nothing can be learned, only texts
     without a letter go. Decisions are per text, so rows that share a doc_id are judged each for itself.

@@ -171,9 +171,10 @@ def identify(docs: DataFrame, **model) -> DataFrame:
     return predict(docs, names, prototypes, **model)
 
 
-def keep(docs: DataFrame, names: list[str], prototypes: np.ndarray, least: float, alphabet: int = 512, n: int = 3, seed: int = 7, group: int = 64) -> DataFrame:
+def keep(docs: DataFrame, names: list[str], prototypes: np.ndarray, least: float, alphabet: int = 512, n: int = 3, seed: int = 7, group: int = 64, few: int = 64) -> DataFrame:
     """The rows of ``docs`` whose text has a letter and a cosine of ``least`` or more with some prototype (any text
-    with a letter, where nothing was learned); all columns stay."""
+    with a letter, where nothing was learned); all columns stay. A text with fewer than ``few`` n-grams stays if it
+    has a letter: some words' n-grams are too rare in any prototype for a cosine to tell."""
 
     def run(batches):
         import pyarrow as pa
@@ -186,7 +187,7 @@ def keep(docs: DataFrame, names: list[str], prototypes: np.ndarray, least: float
                     some = texts[at : at + group]
                     lettered = [any(map(str.isalpha, t)) for t in some]
                     best = (scaled(hd.bundle(some)[0]) @ prototypes.T).max(axis=1) if hd else np.ones(len(some))
-                    good += [a and bool(b >= least) for a, b in zip(lettered, best)]
+                    good += [a and (bool(b >= least) or len(hd.grams(t)) < few) for t, a, b in zip(some, lettered, best)]
                 yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

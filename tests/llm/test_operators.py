@@ -489,6 +489,22 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_few_words_stay(spark):
+    """Texts of one to five words stay whatever their cosine; long texts go by it."""
+    rng = random.Random(4)
+    rare = ["".join(rng.choice("qxzjvkw") for _ in range(rng.randrange(1, 8))) for _ in range(300)]
+    short = [" ".join(rng.choice(rare) for _ in range(1 + k % 5)) + "." for k in range(100)]
+    long = ["".join(chr(rng.randrange(0x1200, 0x1248)) for _ in range(1000)) for _ in range(20)]
+    prose_ = ["the people of this town have been there with their mother and another other one " * 3] * 5
+    rows = [(k, t) for k, t in enumerate([*short, *long, *prose_, "12 34", "", None])]
+    names, prototypes = langid.learn(spark.createDataFrame([("en", prose_[0])] * 3, "lang string, text string"))
+    df = table(spark, rows)
+    score = {r.doc_id: r.score for r in langid.predict(df, names, prototypes).collect()}
+    assert min(score[k] for k in range(100)) < 0.05 and min(score[100 + k] for k in range(20)) < 0.05
+    got = {r.doc_id for r in langid.keep(df, names, prototypes, 0.05).collect()}
+    assert got == {k for k in range(125) if k < 100 or score[k] >= 0.05}
+
+
 def test_vectors_bind_by_place():
     hd = langid.letters(512, 3, 256, 7)
     a = hd.grams("abc")
