@@ -2,7 +2,7 @@
 
 Strong forms (assignments, access identifiers, hex keys) are reported wherever they stand. Weak parts — something
 like an access identifier, something like a secret, an endpoint — are each too common to report. They are joined as
-intervals inside scopes (a paragraph, and at most ``reach`` characters apart), and reported only where an identifier
+intervals inside scopes (a paragraph, and at most ``reach`` characters between them), and reported only where an identifier
 and a secret complement each other; endpoints within reach of such a pair are reported with it.
 """
 
@@ -25,7 +25,9 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
 # Weak parts: an identifier named as one or a short upper-case key; a value named as a key, or a mixed random run.
 WEAK_ACCESS = re.compile(r"\b(?:(?:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}|A[KS]IA[A-Z0-9]{8,})", re.I | re.A)
-WEAK_SECRET = re.compile(r"\b(?:(?:pass|pwd|pin|private_?key|key|credential)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{4,}|(?=[A-Za-z0-9+/]{0,60}[0-9])(?=[A-Za-z0-9+/]{0,60}[A-Z])(?=[A-Za-z0-9+/]{0,60}[a-z])[A-Za-z0-9+/]{32,}={0,2})", re.A)
+WEAK_SECRET = re.compile(r"\b(?:(?:pass|pwd|pin|private_?key|key|credential)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{4,}|(?P<run>[A-Za-z0-9+/]{32,})={0,2})", re.A)
+MIXED = tuple(re.compile(c) for c in ("[0-9]", "[A-Z]", "[a-z]"))
+NAMES = re.compile(r"\b(?:pass|pwd|pin|private|key|credential)", re.A)  # where a named value may begin in a run
 ENDPOINT = re.compile(r"\b(?:(?:https?|ftp|s3|jdbc:\w+|redis|mongodb|postgres(?:ql)?|mysql|amqp|ssh)://[^\x20\x09-\x0D\"'<>]+|(?:endpoint|host|server|url|region)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.:/-]{4,})", re.I | re.A)
 BREAK = re.compile(r"\n[\x20\t\r]*\n")
 SPANS = "doc_id bigint, spans array<struct<kind:string,start:int,end:int>>"
@@ -43,11 +45,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+def weak_secrets(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kind number) of the weak secrets, leftmost and non-overlapping. A run counts if it has a digit, a
+    capital and a small letter anywhere; in one that does not, a named value may begin."""
+    out, at = [], 0
+    while m := WEAK_SECRET.search(text, at):
+        at = m.end()
+        if m["run"] and not all(c.search(m["run"]) for c in MIXED):
+            at = m.end("run")
+            inner = (WEAK_SECRET.match(text, k.start()) for k in NAMES.finditer(text, m.start(), at))
+            m = next((x for x in inner if x and not x["run"]), None)
+            if not m:
+                continue
+            at = m.end()
+        out.append((*m.span(), 4))
+    return out
+
+
 def weak_spans(text: str, strong: list[tuple[int, int, int]], reach: int = 400) -> list[tuple[int, int, int]]:
     """Weak parts that complement each other. A strong assignment or hex key is a secret for a weak identifier, a
     strong access identifier is one for a weak secret; a weak part inside a strong span of its role adds nothing."""
     ids = [(*m.span(), 3) for m in WEAK_ACCESS.finditer(text)]
-    keys = [(*m.span(), 4) for m in WEAK_SECRET.finditer(text)]
+    keys = weak_secrets(text)
     ids = [x for x in ids if not _inside(x, [s for s in strong if s[2] == 1])]
     keys = [x for x in keys if not _inside(x, [s for s in strong if s[2] != 1])]
     every_id, every_key = sorted(ids + [s for s in strong if s[2] == 1]), sorted(keys + [s for s in strong if s[2] != 1])
@@ -65,15 +84,15 @@ def _inside(x: tuple, spans: list[tuple]) -> bool:
 
 
 def _linked(left: list[tuple], right: list[tuple], breaks: list[int], reach: int) -> list[tuple]:
-    """Of ``left``, the intervals with one of ``right`` (sorted) in the same scope, not overlapping it."""
+    """Of ``left``, the intervals with one of ``right`` (sorted) in the same scope, not overlapping it. The gap goes
+    from the end of the earlier to the start of the later one."""
     starts, out = [s for s, _, _ in right], []
     longest = max((b - a for a, b, _ in right), default=0)
     for span in left:
         k = bisect_left(breaks, span[0])
-        low = max(breaks[k - 1] if k else 0, span[0] - reach)
-        high = min(breaks[k] if k < len(breaks) else span[1] + reach, span[1] + reach)
-        near = right[bisect_left(starts, low - longest) : bisect_right(starts, high)]
-        if any(a >= low and b <= high + longest and (b <= span[0] or a >= span[1]) for a, b, _ in near):
+        low, high = breaks[k - 1] if k else 0, breaks[k] if k < len(breaks) else span[1] + reach
+        near = right[bisect_left(starts, max(low, span[0] - reach - longest)) : bisect_right(starts, min(high, span[1] + reach))]
+        if any(span[0] - reach <= b <= span[0] or a >= span[1] for a, b, _ in near):
             out.append(span)
     return out
 
