@@ -8,6 +8,8 @@ changed word costs a piece of 24 words two of its 23 pairs, a ten-word piece wit
 of the window's and 0.999. Pieces only retrieve: each gives those of its five-word shingles that stand in the windows
 it meets, and a template is decided once, by the share of its distinct shingles found so.
 
+Templates of one or two words are joined on these words, without bands.
+
 Before windows are made, texts without any anchor word are left out. A text that holds four fifths of a template's
 distinct shingles holds one of any shingles that are more than a fifth of them. An anchor is the longest word of each
 of so many shingles of the template. So the anchors of all templates lose no match, whatever the band settings.
@@ -102,7 +104,9 @@ def scan(docs: DataFrame, templates: DataFrame, n_bands: int = 24) -> DataFrame:
     templates = templates.select(templates["template_id"], templates["license"], templates["text"])
     pieces, wholes = pieces_of(templates), wholes_of(templates)
     anchors = [r.anchor for r in wholes.select(F.explode("anchors").alias("anchor")).distinct().limit(MOST_ANCHORS + 1).collect()]
-    scales = sorted(r.scale for r in pieces.select("scale").distinct().collect())
+    long, short = pieces.filter("size(w) > 2"), pieces.filter("size(w) <= 2")
+    scales = sorted(r.scale for r in long.select("scale").distinct().collect())
+    shorts, few = short.count(), pieces.count() <= MOST_BROADCAST
     rows = docs.select(docs["doc_id"], F.lower(docs["text"]).alias("low")).filter("low is not null")
     if len(anchors) <= MOST_ANCHORS:
         rows = rows.filter(F.col("low").rlike("|".join(sorted(anchors)) or "(?!)"))  # anchors are letters and digits
@@ -112,15 +116,23 @@ def scan(docs: DataFrame, templates: DataFrame, n_bands: int = 24) -> DataFrame:
         _, width, stride = SCALES[n]
         made = F.expr(f"transform(sequence(0, greatest(size(w) - {width} + {stride} - 1, 0), {stride}), s -> struct({n} as scale, s as at, slice(w, s + 1, {width}) as ww, slice(g, s + 1, {width - 1}) as gg))")
         windows.append(made)
-    if not windows:
+    if not windows and not shorts:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, template_id int, license string, pieces_found bigint, pieces bigint, containment double, first_word int")
-    cut = rows.select("doc_id", F.explode_outer(F.flatten(F.array(*windows))).alias("win")).select("doc_id", "win.*")
-    cut = cut.withColumn("band", _minima("gg", n_bands)).select("doc_id", "scale", "at", "ww", F.explode_outer("band").alias("band"))
-    keyed = pieces.withColumn("g", _pairs("w")).withColumn("band", _minima("g", n_bands)).select("template_id", "license", "piece", "k", "shingles", "scale", F.explode_outer("band").alias("band"))
-    if pieces.count() <= MOST_BROADCAST:
-        keyed = F.broadcast(keyed)
-    held = F.expr(f"array_intersect(shingles, {_shingles('ww', 'k')})")
-    met = cut.join(keyed, ["scale", "band"]).filter("size(ww) >= k").select("doc_id", "template_id", "license", "piece", F.size("shingles").alias("n"), "at", F.explode(held).alias("shingle"))
+    met = []
+    if windows:
+        cut = rows.select("doc_id", F.explode_outer(F.flatten(F.array(*windows))).alias("win")).select("doc_id", "win.*")
+        cut = cut.withColumn("band", _minima("gg", n_bands)).select("doc_id", "scale", "at", "ww", F.explode_outer("band").alias("band"))
+        keyed = long.withColumn("g", _pairs("w")).withColumn("band", _minima("g", n_bands)).select("template_id", "license", "piece", "k", "shingles", "scale", F.explode_outer("band").alias("band"))
+        keyed = F.broadcast(keyed) if few else keyed
+        held = F.expr(f"array_intersect(shingles, {_shingles('ww', 'k')})")
+        met.append(cut.join(keyed, ["scale", "band"]).filter("size(ww) >= k").select("doc_id", "template_id", "license", "piece", F.size("shingles").alias("n"), "at", F.explode(held).alias("shingle")))
+    if shorts:
+        ones = "transform(w, (x, i) -> struct(x as shingle, i as at))"
+        twos = "transform(w, (x, i) -> struct(concat(x, ' ', get(w, i + 1)) as shingle, i as at))"  # null after the last
+        each = rows.select("doc_id", F.explode(F.expr(f"concat({ones}, {twos})")).alias("x")).select("doc_id", "x.*").filter("shingle is not null")
+        names = short.select("template_id", "license", "piece", F.size("shingles").alias("n"), F.element_at("shingles", 1).alias("shingle"))
+        met.append(each.join(F.broadcast(names) if few else names, "shingle").select("doc_id", "template_id", "license", "piece", "n", "at", "shingle"))
+    met = met[0].unionByName(met[1]) if len(met) > 1 else met[0]
     per = met.groupBy("doc_id", "template_id", "license", "piece", "n").agg(F.collect_set("shingle").alias("found"), F.min("at").alias("at"))
     total = pieces.groupBy("template_id").agg(F.count("*").alias("pieces")).join(wholes.groupBy("template_id").agg(F.max("n_shingles").alias("n_shingles")), "template_id")
     whole = per.groupBy("doc_id", "template_id", "license").agg(F.count_if(F.size("found") >= LEAST * F.col("n")).alias("pieces_found"), F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n_found"), F.min("at").alias("first_word"))

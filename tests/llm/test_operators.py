@@ -299,6 +299,17 @@ def test_licenses_with_a_changed_word(spark):
     assert sum(d // 1000 == t and d % 10 == 0 for d, t in want) > 150  # substitutions
 
 
+def test_license_templates_of_one_and_two_words(spark):
+    rng = random.Random(8)
+    texts = [(k, f"{prose(rng, 30)} {t} {prose(rng, 30)}") for k, t in enumerate(["Unlicense", "MIT License", "MIT old License", "unlicensed", "Public domain work, by all"])]
+    rows = [*texts, (10, "unlicense"), (11, "mit license"), (12, "license mit"), (13, "MIT")]
+    kinds = [(1, "a", "Unlicense"), (2, "b", "MIT License"), (3, "c", "public domain work, by all")]
+    want = [(0, 1), (1, 2), (4, 3), (10, 1), (11, 2)]
+    for some in (kinds, kinds[:2]):
+        got = license_scan.scan(table(spark, rows), spark.createDataFrame(some, "template_id int, license string, text string")).collect()
+        assert sorted((r.doc_id, r.template_id) for r in got) == [x for x in want if x[1] <= len(some)]
+
+
 def test_license_anchors_with_repeated_shingles(spark):
     """Text without the frequent words of one part; a template that repeats a part."""
     part, rest = [f"aa{k}" for k in range(6)], [f"b{k}" for k in range(40)]
