@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -13,10 +15,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_state: dict = {}
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """The one object that a Python worker keeps between its tasks, such as a loaded tokenizer. A task that asks for
+    another key, or has none (``None``), drops it, so that what earlier stages left doesn't pile up in a worker."""
+    if key not in _state:
+        if _state:
+            _state.clear()
+            trim()
+        _state[key] = make()
+    return _state[key]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a local one only where that is unset."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``). A local one is made only where that is unset and
+    the driver runs all tasks itself; elsewhere executors could not read each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='nearvote-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -52,15 +79,19 @@ def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose worker builds its state once a task and turns each batch into a dict of columns."""
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, stateless: bool = True) -> DataFrame:
+    """``mapInArrow`` whose worker builds its state once a task and turns each batch into a dict of columns.
+    ``stateless``: nothing is kept from the worker's earlier tasks."""
     fields = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
             for part in pieces(batch):
-                step = step or make()
+                if step is None:
+                    if stateless:
+                        worker_state(None, bool)
+                    step = make()
                 out = step(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in fields], schema=fields)
 

@@ -8,8 +8,9 @@ points at which a text is cut here, so the ids of a text are the ids of its chun
   space; and around a line feed that stands alone, which is a pre-token of its own.
 * word level (white space removed): a cut at any space or line feed.
 
-Any other pipeline is encoded text by text. A word of Latin letters alone is one pre-token and goes straight to the
-merges; other new chunks are encoded by the whole tokenizer.
+Any other pipeline is encoded text by text, and so is a text that holds the string of an added token, which the
+library turns into that token's id. A word of Latin letters alone is one pre-token and goes straight to the merges;
+other new chunks are encoded by the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import json
 import re
 from array import array
 
+from . import common
+
 _CUT = re.compile(r"(?<=\S)(?= )")
 _WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
@@ -35,38 +38,50 @@ def _single(text: str) -> bool:
     return not any([r in text for r in _RUNS]) and (text.isascii() or not _WIDE_SPACE.search(text))
 
 
-_loaded: dict[tuple[str, int], "ChunkEncoder"] = {}
-
-
-def encoder(path: str, cache_entries: int = 1_000_000) -> "ChunkEncoder":
-    """One encoder a Python worker and file."""
-    key = (path, cache_entries)
-    if key not in _loaded:
-        _loaded[key] = ChunkEncoder(path, cache_entries)
-    return _loaded[key]
+def encoder(path: str, cache_entries: int = 400_000) -> "ChunkEncoder":
+    """One encoder a Python worker and file; it goes when the worker's next task needs another."""
+    return common.worker_state(("encoder", path, cache_entries), lambda: ChunkEncoder(path, cache_entries))
 
 
 class ChunkEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes: those of the library with
+    ``add_special_tokens=False``. Two generations of at most ``cache_entries`` chunks (of at most 80 characters) are
+    kept, besides those of the batch at hand: some 200 bytes each."""
 
-    def __init__(self, path: str, cache_entries: int = 1_000_000):
+    def __init__(self, path: str, cache_entries: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.limit = cache_entries
         with open(path, encoding="utf-8") as f:
-            self.mode = _mode(json.load(f))
-        self.words = _Words(self)
+            spec = json.load(f)
+        self.mode = _mode(spec)
+        self.added = sorted({t["content"] for t in spec.get("added_tokens") or []})
+        self.folded = [t.lower() for t in self.added] if any(t.get("normalized") for t in spec.get("added_tokens") or []) else []
+        self.words = _Words(self, cache_entries)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def holds_added(self, text: str) -> bool:
+        return any([t in text for t in self.added]) or bool(self.folded) and any(t in text.lower() for t in self.folded)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mode == "whole":
             return self.whole(texts)
-        if len(self.words) > self.limit:
-            self.words.clear()
+        apart = [k for k, x in enumerate(texts) if self.holds_added(x)]
+        if apart:
+            texts = list(texts)
+            parts = [texts[k] for k in apart]
+            for k in apart:
+                texts[k] = ""
+        out = self._chunked(texts)
+        if apart:
+            for k, ids in zip(apart, self.whole(parts)):
+                out[k] = ids
+        return out
+
+    def _chunked(self, texts: list[str]) -> list[bytes]:
+        self.words.age()
         get = self.words.__getitem__
         if self.mode == "word":
             return [b"".join(map(get, x.replace("\n", " ").split(" "))) for x in texts]
@@ -88,13 +103,22 @@ class _Words(dict):
     """Chunks to ids, encoded at their first use. At byte level a chunk stands behind a space, or begins with the line
     feed that stands in the space's stead. A full stop or comma after a letter is a pre-token of its own."""
 
-    def __init__(self, owner: ChunkEncoder):
+    def __init__(self, owner: ChunkEncoder, limit: int):
         super().__init__()
+        self.limit, self.old = limit, {}
         self.whole, self.merge = owner.whole, owner.tokenizer.model.tokenize
         self.low, self.lead = owner.mode == "word", " " if owner.mode == "byte" else ""
         self.points, self.feed = dict(zip(".,", owner.whole([".", ","]))), owner.whole(["\n"])[0]
 
+    def age(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
     def __missing__(self, w: str) -> bytes:
+        if (ids := self.old.get(w)) is not None:
+            self[w] = ids
+            return ids
         if w[:1] == "\n" and not self.low:
             ids = self.feed + self._ids("", w[1:])
         else:
