@@ -1,8 +1,9 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, exact verification, connected components.
 
-1. Every text becomes its set of word shingles, a SuperMinHash signature and band names. Equal sets are one class
-   with its least document as representative; only representatives go on.
-2. Representatives that share a band are in one bucket. Each bucket has a leader: the member that shares most with
+1. Every text becomes its set of word shingles, a SuperMinHash signature and band names. Equal sets are one class;
+   only classes go on. A class goes by its least document, or, where that document stands on rows of several classes,
+   all but one of these by a number above every doc_id, linked with the document.
+2. Classes that share a band are in one bucket. Each bucket has a leader: the member that shares most with
    others over all its bands. Members are compared with their leaders on full sets; links make components.
 3. Buckets that still hold several components are compared in full, in blocks of bounded size; blocks inside one
    component need no comparison. Buckets with common members make a family, which is compared once. In a family of
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -59,17 +60,18 @@ def sketch(docs: DataFrame, words: int, n_bands: int, rows: int, group: int = 16
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and its whole set, as sorted unsigned 64-bit names."""
+    """The name of each row's set, and the whole set, as sorted unsigned 64-bit names."""
 
     def make():
         names = WordNames()
 
         def step(batch):
-            return {"doc_id": batch.column("doc_id"), "set": [shingle_set(names.of(t.encode().lower().split()), words).tobytes() for t in common.texts_of(batch)]}
+            sets = [shingle_set(names.of(t.encode().lower().split()), words).tobytes() for t in common.texts_of(batch)]
+            return {"name": [hashlib.blake2b(s, digest_size=16).digest() for s in sets], "set": sets}
 
         return step
 
-    return common.map_batches(docs, make, "doc_id bigint, set binary")
+    return common.map_batches(docs, make, "name binary, set binary")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -174,9 +176,9 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, n_bands: int = 24,
 
     Words are lower-case (A-Z) runs without ASCII white space; a text with fewer than ``words`` words has one
     shingle. Null, empty and wordless texts have the empty set and are linked with nothing. Rows that repeat a
-    doc_id each give a row, and share one component; where
-    their texts differ, near links are sought for one of the texts. A row with a null doc_id links with nothing: its
-    component is null and it is kept. An empty table gives no rows; further columns are not read.
+    doc_id each give a row, and share one component; where their texts differ, each text is linked for itself and
+    the document with all of them. A row with a null doc_id links with nothing: its component is null and it is
+    kept. An empty table gives no rows; further columns are not read.
 
     A pair at the threshold shares a band with probability 1 - (1 - (percent/100)**rows)**n_bands, 0.999997 by
     default; everything after that is exact.
@@ -191,15 +193,21 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, n_bands: int = 24,
 
     marks = keep(sketch(docs, words, n_bands, rows), "near-sketch")
     some = marks.filter("name is not null and doc_id is not null")
-    reps = keep(some.groupBy("name").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("copies")), "near-reps")
-    buckets = reps.select(F.col("rep").alias("doc"), F.explode("bands").alias("band"))
+    classes = keep(some.groupBy("name").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "near-classes")
+    shared_ids = classes.groupBy("rep").agg(F.count("*").alias("n"), F.min("name").alias("first")).filter("n > 1").select("rep", "first")
+    top = F.lit((marks.agg(F.max("doc_id")).first()[0] or 0) + 1)
+    reps = classes.join(shared_ids, "rep", "left").withColumn("cls", F.when(F.col("first").isNull() | (F.col("first") == F.col("name")), F.col("rep")).otherwise(top + F.monotonically_increasing_id())).drop("first")
+    reps = keep(reps, "near-reps")
+    buckets = reps.select(F.col("cls").alias("doc"), F.explode("bands").alias("band"))
     counted = buckets.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     shared = keep(buckets.join(counted, "band").distinct(), "near-buckets")
     weight = shared.groupBy("doc").agg(F.sum("size").alias("weight"))
     leaders = shared.join(weight, "doc").groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc")).alias("d"))).alias("top")).select("band", (-F.col("top.d")).alias("leader"))
     led = keep(shared.join(leaders, "band"), "near-led")
-    ids = led.select(F.col("doc").alias("doc_id")).distinct()
-    sets = keep(full_sets(docs.join(ids.hint("merge"), "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.max("set").alias("set")), "near-sets")
+    wanted = led.select(F.col("doc").alias("cls")).distinct().join(reps.select("cls", "name", F.col("rep").alias("doc_id")), "cls")
+    wanted = keep(wanted, "near-wanted")
+    sets = full_sets(docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), words).groupBy("name").agg(F.max("set").alias("set"))
+    sets = keep(sets.join(wanted.select("name", F.col("cls").alias("doc_id")), "name").select("doc_id", "set"), "near-sets")
     pairs = led.filter("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
     compared = keep(compare(with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")), "near-compared")
@@ -210,18 +218,19 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80, n_bands: int = 24,
     for name, path in made.items():
         if name not in ("near-sketch", "near-reps", "near-links"):  # the rows below are read from these
             common.drop_path(spark, path)
-    copies = marks.select("doc_id", "n_shingles", "name").join(reps.select("name", "rep", "copies"), "name", "left")
+    copies = marks.select("doc_id", "n_shingles", "name").join(reps.select("name", "rep", "cls"), "name", "left")
     roots = components(links.unionByName(_several(copies)), "a", "b")
-    roots = roots.select(F.col("node").alias("rep"), "root")
-    out = copies.join(roots, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
+    one = copies.groupBy("doc_id").agg(F.min("rep").alias("node")).filter("doc_id is not null and node is not null")
+    root_of = one.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    out = marks.select("doc_id", "n_shingles").join(root_of, "doc_id", "left").withColumn("component_id", F.coalesce("root", "doc_id")).drop("root")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _several(copies: DataFrame) -> DataFrame:
-    """Links between the classes of a doc_id that stands on several rows."""
-    span = copies.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-    one = copies.join(span.filter("low <> high"), "doc_id")
-    return one.select(F.col("low").alias("a"), F.col("rep").alias("b")).unionByName(one.select(F.col("low").alias("a"), F.col("doc_id").alias("b")))
+    """Links between what a document's rows stand for: its own classes, and a class's number and least document."""
+    span = copies.filter("rep is not null").groupBy("doc_id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("doc_id", "low")
+    one = copies.filter("cls is not null").join(span, "doc_id").select(F.col("low").alias("a"), F.col("cls").alias("b"))
+    return one.unionByName(copies.filter("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b")))
 
 
 def _rest(led: DataFrame, compared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, keep) -> DataFrame:
@@ -263,7 +272,18 @@ def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def representatives(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its group, all columns kept. Of rows that repeat a
-    kept doc_id with the same text, each stays."""
-    kept = group(docs, **settings).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """The rows of ``docs`` whose document is the least of its group, all columns kept; one row of each document, that
+    whose text sorts first (null text last), of rows with a doc_id. Rows with a null doc_id stay."""
+    spark = docs.sparkSession
+    kept = group(docs, **settings).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"))
+    kept, _ = common.stage_table(kept, "near-kept")
+    mark = "_times"
+    while mark in docs.columns:
+        mark += "_"
+    rows = docs.join(kept.select(F.col("doc_id"), F.col("times").alias(mark)), "doc_id").select(*[docs[c] for c in docs.columns], mark)
+    again = rows.filter(F.col(mark) > 1).drop(mark)
+    order = [F.col("text").asc_nulls_last(), *[F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != "text" and f.dataType.typeName() != "map"]]
+    if kept.filter("times > 1").isEmpty():
+        return rows.drop(mark).unionByName(docs.filter("doc_id is null"))
+    first = again.withColumn(mark, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter(F.col(mark) == 1).drop(mark)
+    return rows.filter(F.col(mark) == 1).drop(mark).unionByName(first).unionByName(docs.filter("doc_id is null"))
