@@ -18,7 +18,6 @@ from . import common
 
 NONE = "und"
 ROWS = "doc_id bigint, held_out boolean, lang_pred string, score double, margin double"
-_tables: dict = {}
 
 
 class Letters:
@@ -65,7 +64,7 @@ class Letters:
         return out.astype(np.float32)
 
     def bundle(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts × dims) bundled vectors, exact sums below 2**24; and which texts have a letter."""
+        """(texts × dims) bundled vectors, exact sums below 2**24; and the number of n-grams of each text."""
         grams = [self.grams(t) for t in texts]
         sizes = np.array([len(g) for g in grams])
         every = np.concatenate(grams) if len(grams) else np.zeros(0, np.int64)
@@ -80,15 +79,12 @@ class Letters:
             width = min(step, len(unique) - at)
             counts = np.bincount(sorted_rows[a:b] * width + sorted_inverse[a:b] - at, minlength=len(texts) * width).reshape(len(texts), width)
             out += counts.astype(np.float32) @ self.vectors(unique[at : at + width])
-        return out, sizes > 0
+        return out, sizes
 
 
 def letters(alphabet: int, n: int, dims: int, seed: int) -> Letters:
     """One table a Python worker."""
-    key = (alphabet, n, dims, seed)
-    if key not in _tables:
-        _tables[key] = Letters(*key)
-    return _tables[key]
+    return common.worker_state(("letters", alphabet, n, dims, seed), lambda: Letters(alphabet, n, dims, seed))
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -153,7 +149,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, alphabet:
                 best = like.argmax(axis=1)
                 for k in range(len(some)):
                     row = np.sort(like[k])
-                    lettered = has[k] or any(map(str.isalpha, some[k]))
+                    lettered = has[k] > 0 or any(map(str.isalpha, some[k]))
                     pred.append(names[best[k]] if lettered else NONE)
                     score.append(float(min(1.0, max(0.0, row[-1]))) if lettered else 0.0)
                     margin.append(float(row[-1] - row[-2]) if lettered and len(row) > 1 else 0.0)
@@ -161,7 +157,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, alphabet:
 
         return step
 
-    return common.map_batches(docs.select(docs["doc_id"], docs["text"], held_out(docs["doc_id"]).alias("held_out")), make, ROWS)
+    return common.map_batches(docs.select(docs["doc_id"], docs["text"], held_out(docs["doc_id"]).alias("held_out")), make, ROWS, stateless=False)
 
 
 def identify(docs: DataFrame, **model) -> DataFrame:
@@ -171,10 +167,14 @@ def identify(docs: DataFrame, **model) -> DataFrame:
     return predict(docs, names, prototypes, **model)
 
 
-def keep(docs: DataFrame, names: list[str], prototypes: np.ndarray, least: float, alphabet: int = 512, n: int = 3, seed: int = 7, group: int = 64, few: int = 64) -> DataFrame:
-    """The rows of ``docs`` whose text has a letter and a cosine of ``least`` or more with some prototype (any text
-    with a letter, where nothing was learned); all columns stay. A text with fewer than ``few`` n-grams stays if it
-    has a letter: some words' n-grams are too rare in any prototype for a cosine to tell."""
+def keep(docs: DataFrame, names: list[str], prototypes: np.ndarray, least: float, lead: float = 0.0, alphabet: int = 512, n: int = 3, seed: int = 7, group: int = 64, few: int = 200) -> DataFrame:
+    """The rows of ``docs`` whose language is identified; all columns stay. Rejected are texts without a letter, and
+    those of ``few`` n-grams or more that have a cosine below ``least`` with every prototype (no learned language), or
+    whose best prototype leads the next by less than ``lead`` (a mixture). In a shorter text some words' n-grams
+    decide the cosine, so a letter is enough; and where nothing was learned it is enough for any text.
+
+    Null and empty texts have no letter. Rows that repeat are judged each; an empty table gives none; columns other
+    than ``text`` are passed on unread, whatever their names."""
 
     def run(batches):
         import pyarrow as pa
@@ -185,9 +185,15 @@ def keep(docs: DataFrame, names: list[str], prototypes: np.ndarray, least: float
                 texts, good = common.texts_of(part), []
                 for at in range(0, len(texts), group):
                     some = texts[at : at + group]
-                    lettered = [any(map(str.isalpha, t)) for t in some]
-                    best = (scaled(hd.bundle(some)[0]) @ prototypes.T).max(axis=1) if hd else np.ones(len(some))
-                    good += [a and (bool(b >= least) or len(hd.grams(t)) < few) for t, a, b in zip(some, lettered, best)]
+                    fine = [any(map(str.isalpha, t)) for t in some]
+                    if hd:
+                        vectors, sizes = hd.bundle(some)
+                        like = np.sort(scaled(vectors) @ prototypes.T, axis=1)
+                        clear = like[:, -1] >= least
+                        if len(names) > 1:
+                            clear &= like[:, -1] - like[:, -2] >= lead
+                        fine = [a and bool(b) for a, b in zip(fine, clear | (sizes < few))]
+                    good += fine
                 yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
