@@ -1,6 +1,7 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are read in blocks of bounded size. Every n-gram that a document shares with an item is a seed, however
+Test items are read in blocks of bounded size, a block's table of n-grams is broadcast, and each worker joins its
+passages with it by sorted search. Every n-gram that a document shares with an item is a seed, however
 common it is. The text around the seeds is aligned with the item, word by word, so edited copies score as well;
 stretches whose words cannot reach the least score, in whatever order, are left out before.
 """
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from . import common
@@ -189,19 +191,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
 
     Null and empty texts and items hold nothing; an item with fewer than ``n`` words is found verbatim only.
     Documents that repeat get rows each; items with equal texts too. Empty tables give no rows; further columns are
-    not read. Each block of items is one stated set against all documents: one pass, no shuffle.
+    not read. Each block of items is one stated set against all documents: one pass, no shuffle. What is broadcast
+    is bounded by ``most_words``: some 40 bytes an n-gram and 100 a distinct word.
     """
     rows = common.pick(docs, "doc_id", "text")
     out = []
     for some in blocks(benchmark, most_words):
-        out.append(_held(rows, Items(some, n), least))
+        out.append(_held(rows, docs.sparkSession.sparkContext.broadcast(Items(some, n)), least))
     return common.union_all(out) if out else docs.sparkSession.createDataFrame([], ROWS)
 
 
-def _held(rows: DataFrame, items: Items, least: float) -> DataFrame:
+def _held(rows: DataFrame, block: Broadcast[Items], least: float) -> DataFrame:
     names = [f.split()[0] for f in ROWS.split(", ")]
 
     def make():
+        items = block.value
+
         def step(batch):
             found = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts_of(batch)):
@@ -214,15 +219,18 @@ def _held(rows: DataFrame, items: Items, least: float) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.4, most_words: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, all columns kept. One pass decides and filters for each block."""
+    """The rows of ``docs`` that hold no test item, all columns kept. One pass decides and filters for each block.
+    Null and empty texts hold nothing and stay; rows that repeat are judged each; an empty table gives none."""
     out = docs
     for some in blocks(benchmark, most_words):
-        out = _without(out, Items(some, n), least)
+        out = _without(out, docs.sparkSession.sparkContext.broadcast(Items(some, n)), least)
     return out
 
 
-def _without(docs: DataFrame, items: Items, least: float) -> DataFrame:
+def _without(docs: DataFrame, block: Broadcast[Items], least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = block.value
+        common.worker_state(None, bool)
         for batch in batches:
             for part in common.pieces(batch):
                 keep = [next(find(items, items.numbers(t), least), None) is None for t in common.texts_of(part)]
