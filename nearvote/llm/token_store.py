@@ -155,7 +155,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 cols = [[part] * len(n), [seq] * len(n), ids, np.cumsum(n) - n, n, crc]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, fields)], schema=fields)
 
-    order = Window.orderBy("part", "seq")  # a row a shard
-    places = shards.select("part", "seq", (F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("before"))
+    inside = Window.partitionBy("part").orderBy("seq")
+    sums = shards.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))  # a row a range that the store was written in
+    starts = sums.select("part", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("base"))
+    places = shards.select("part", "seq", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("before")).join(starts, "part")
     rows = shards.select("part", "seq", "data").mapInArrow(run, ROWS)
-    return rows.join(places, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(places, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
