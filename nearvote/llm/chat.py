@@ -138,7 +138,8 @@ def render(conversations: DataFrame, tokenizer_path: str, block_chars: int = 1 <
 
 def read_back(blocks: DataFrame, tokenizer_path: str) -> DataFrame:
     """What the formatted output says: turns parsed from the text that the ids decode to, and the text under the
-    loss mask. Blocks of a conversation are read in order by one task, with running hashes and one block at a time."""
+    loss mask. Blocks of a conversation are read in order by one task, with running hashes and one block at a time.
+    A null conv_id is a conversation of its own; empty texts count as turns; an empty table gives no rows."""
     ordered = blocks.repartition(common.shuffle_parts(blocks.sparkSession), "conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "block")
     fields = common.arrow_schema(DIGEST)
 

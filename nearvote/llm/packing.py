@@ -21,7 +21,6 @@ from . import common
 from .tokens import encoder
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-MOST_BLOCKS = 4096
 
 
 @dataclass
@@ -128,16 +127,15 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     of rows by hash, so no task holds a length, however common.
     """
     spark = docs.sparkSession
-    tokens, _ = common.stage_table(common.map_batches(common.pick(docs, "doc_id", "text"), lambda: _tokenise(tokenizer_path, end_id, capacity), "doc_id bigint, n bigint, ids binary").withColumn("rid", F.monotonically_increasing_id()), "pack-tokens")
+    tokens, _ = common.stage_table(common.map_batches(common.pick(docs, "doc_id", "text"), lambda: _tokenise(tokenizer_path, end_id, capacity), "doc_id bigint, n bigint, ids binary", stateless=False).withColumn("rid", F.monotonically_increasing_id()), "pack-tokens")
     light = tokens.select("rid", "n", (F.col("n") % capacity).cast("int").alias("rem"), F.expr(f"n div {capacity}").alias("full"))
-    blocks = max(1, min(MOST_BLOCKS, light.count() // 2000))
-    light = light.withColumn("block", common.spread(F.col("rid"), blocks))
+    light = light.withColumn("block", common.spread(F.col("rid"), common.shuffle_parts(spark)))
     per = light.groupBy("block", "rem").agg(F.count("*").alias("c"), F.sum("full").alias("f"))
     per, _ = common.stage_table(per, "pack-counts")
     histogram = {r.rem: r.c for r in per.filter("rem > 0").groupBy("rem").agg(F.sum("c").alias("c")).collect()}
     plan = plan_bins(histogram, capacity)
     base, bases = plan.sequences(), {}
-    for r in sorted(per.groupBy("block").agg(F.sum("f").alias("f")).collect()):  # at most MOST_BLOCKS rows
+    for r in sorted(per.groupBy("block").agg(F.sum("f").alias("f")).collect()):  # a row a shuffle partition
         bases[r.block], base = base, base + r.f
     earlier = Window.partitionBy("rem").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = per.select("block", "rem", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("earlier"))

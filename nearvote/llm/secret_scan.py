@@ -123,7 +123,8 @@ def joined(spans: Column) -> Column:
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    """Counts and digests of ``scan``'s rows."""
+    """Counts and digests of ``scan``'s rows, one each: rows that repeat stay, an empty table gives none, and a row
+    without spans (null or empty text) has counts 0, the digest of the empty string and an empty ``spans``."""
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return spans.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

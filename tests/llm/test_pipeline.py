@@ -48,3 +48,26 @@ def test_pipeline_stages(spark):
     for r in out:
         sizes[r.sequence_id] += r.length
     assert max(sizes.values()) <= 2048
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows(spark, name, stage):
+    """Nulls in any column, empty and very long texts, repeated rows, and further columns with names used inside."""
+    prose = "of the people and their mother who have been there with another other one in this town "
+    rows = [(k, prose * (1 + k % 3) + f"number {k} " * 12, "en", "s", 9) for k in range(40)]
+    rows += [(None, prose, "en", "s", 1), (50, None, "en", "s", None), (51, "", None, None, 0), (52, prose + "x " * 300_000, None, "s", 1), (1, rows[1][1], "en", "s", 9), (53, "12 34", "en", "s", 5)]
+    more = ", block string, part string, rid string, n string, ids string, name string, cls string, times string, rep string"
+    df = spark.createDataFrame([(*r, *"xxxxxxxxx") for r in rows], ODD + more).repartition(3)
+    got = stage(spark, df, SF)
+    kept = got.collect()
+    if name == "packing":
+        assert {r.doc_id for r in kept} == {r[0] for r in rows}
+    else:
+        assert got.columns == df.columns
+        ids = collections.Counter(r.doc_id for r in kept)
+        assert set(range(40)) <= set(ids) and (ids[1] == 1 if name == "near_duplicates" else ids[1] == 2)
+        assert (50 in ids) == (51 in ids) == (53 in ids) == (name != "language_id") or name == "near_duplicates"
+    assert stage(spark, df.limit(0), SF).count() == 0
