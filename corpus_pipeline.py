@@ -13,18 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearvote.llm import common, decontam, langid, near_dedup, packing, secret_scan
 
-LEAST_SCORE = 0.05  # cosine, of texts with 64 n-grams or more; a few words may score as low as chance
+LEAST_SCORE, LEAST_LEAD = 0.4, 0.05  # cosine, and its lead over the next language, of texts with 200 n-grams or more
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without an identifiable language: no letter, or, beyond a few words, next to no likeness
-    to any prototype.
+    """Drops documents without an identifiable language: no letter, or, beyond a few dozen words, too little likeness
+    to any prototype (noise, repetition of few strings) or as much to two of them (mixtures).
 
     The model learns from the labelled part of this stage's own input. Where nothing can be learned, only texts
     without a letter go. Decisions are per text, so rows that share a doc_id are judged each for itself.
     """
     names, prototypes = langid.learn(docs.filter(~langid.held_out(docs["doc_id"])))
-    return langid.keep(docs, names, prototypes, LEAST_SCORE)
+    return langid.keep(docs, names, prototypes, LEAST_SCORE, LEAST_LEAD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
