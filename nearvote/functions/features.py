@@ -94,19 +94,16 @@ def timestamp_ok(text: Column) -> Column:
     return F.coalesce((F.length(text) >= 20) & text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"), F.lit(False))
 
 
-def days_from_civil(y: Column, m: Column, d: Column) -> Column:
-    """Day number in the proleptic Gregorian calendar, by integer arithmetic, so that months and days outside
-    their range run on. The year starts in March, which puts the leap day last."""
-    shifted = y - F.when(m <= 2, 1).otherwise(0)
-    era = F.floor(shifted / 400)
-    of_era = shifted - era * 400
-    month = F.pmod(m + 9, F.lit(12))
-    return (era * 146097 + of_era * 365 + F.floor(of_era / 4) - F.floor(of_era / 100) + F.floor((153 * month + 2) / 5) + d - 1 - 719468).cast("long")
+def day_number(y: Column, m: Column, d: Column) -> Column:
+    """Days from 1970-01-01 to a date of the proleptic Gregorian calendar. Months and days outside their range run on:
+    whole months are added to the epoch, then days."""
+    epoch = F.lit("1970-01-01").cast("date")
+    return (F.datediff(F.add_months(epoch, (y - 1970) * 12 + m - 1), epoch) + d - 1).cast("long")
 
 
 def parse_iso(text: Column) -> Column:
     """struct(epoch_s, hour, weekday with Monday 0), or null."""
-    days = days_from_civil(_digits(text, 1, 4), _digits(text, 6, 2), _digits(text, 9, 2))
+    days = day_number(_digits(text, 1, 4), _digits(text, 6, 2), _digits(text, 9, 2))
     hour = _digits(text, 12, 2)
     epoch = days * 86400 + hour * 3600 + _digits(text, 15, 2) * 60 + _digits(text, 18, 2)
     return F.when(timestamp_ok(text), F.struct(epoch.alias("epoch_s"), hour.alias("hour"), F.pmod(days + 3, F.lit(7)).cast("int").alias("weekday")))

@@ -26,7 +26,7 @@ def fast_path_score(v: Sequence[Column]) -> Column:
 def fast_path_votes(v: Sequence[Column]) -> Column:
     """0 or 5 where a chain of thresholds decides, else -1. The first that applies wins."""
     s = fast_path_score(v)
-    chain = [
+    chain = [  # fixed values
         (s < f32(1.95), 0),
         (s > f32(11.1), 5),
         (v[0] <= f32(0.0387315), 0),
@@ -78,8 +78,8 @@ def high_risk_approval(votes: Column, q: Sequence[Column]) -> Column:
 
 
 def gate(votes: Column, q: Sequence[Column]) -> Column:
-    """Whether a first answer is searched again."""
-    return ambiguous(votes) | low_risk_denial(votes, q) | high_risk_approval(votes, q)
+    """Whether a first answer is searched again. The rules it joins have fixed values."""
+    return ambiguous(votes) | low_margin(votes) | low_risk_denial(votes, q) | high_risk_approval(votes, q)
 
 
 def approved(votes: Column) -> Column:

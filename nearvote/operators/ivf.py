@@ -21,19 +21,31 @@ ID_BLOCK = 1 << 16
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder from ``spark.checkpoint.dir``. A local one is made only where that is unset and the driver
+    runs all tasks itself."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='nearvote-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Ends the lineage in a table of the shared folder."""
+    return _stored(df, name)[0]
+
+
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def depth_of(nlist: int) -> int:
@@ -82,11 +94,18 @@ def split_level(rows: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def balanced_lists(refs: DataFrame, nlist: int, dims: list[str] = S.Q) -> DataFrame:
-    """refs with ``list_id`` from the balanced tree."""
-    rows = refs.withColumn("node", F.lit(0))
+    """refs with ``list_id`` from the balanced tree. Levels carry the split values only; the other columns join once,
+    at the end, and each level's table goes when the next is written."""
+    rows, path = refs.select("orig_id", *dims).withColumn("node", F.lit(0)), None
     for _ in range(depth_of(nlist)):
-        rows = cut(split_level(rows, dims), "tree")
-    return rows.withColumnRenamed("node", "list_id")
+        rows, new = _stored(split_level(rows, dims), "tree")
+        if path:
+            _drop(refs.sparkSession, path)
+        path = new
+    lists = rows.select("orig_id", F.col("node").alias("list_id"))
+    if set(refs.columns) <= {"orig_id", *dims}:
+        return rows.withColumnRenamed("node", "list_id")
+    return cut(refs.join(lists, "orig_id").select("list_id", *refs.columns), "lists")
 
 
 def centroids(lists: DataFrame, nlist: int, dims: list[str] = S.V) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from . import ivf
+from ..functions import features as X
+from ..functions import parse as P
+from ..functions import rules as R
+from ..sources import readers
+from . import ivf, search
 
 
 def expected_votes(score: Column) -> Column:
@@ -41,6 +47,38 @@ def report(rows: DataFrame, params: S.SearchParams, index: ivf.Index | None = No
     return out.select(*[c.alias(k) for k, c in head.items()], *out.columns)
 
 
+def score_entries(entries: DataFrame, index: ivf.Index, params: S.SearchParams, flat_only: bool = False) -> DataFrame:
+    """Labelled queries (idx, body, expected_approved, expected_fraud_score) with their answers, as ``report`` reads
+    them. A malformed body counts as approved without votes, and as a parse error; rule shortcuts scan nothing."""
+    parsed = P.parse(entries).select(F.col("idx").alias("qid"), "ok", "expected_approved", expected_votes(F.col("expected_fraud_score")).alias("expected_votes"), *P.request_vector())
+    v = [F.col(c) for c in S.V]
+    rule = R.heuristic_votes(v) if params.heuristic_only else R.fast_path_votes(v) if params.fast_path else F.lit(-1)
+    rows = ivf.cut(parsed.withColumn("rule", F.when(F.col("ok"), rule).otherwise(0)), "entries")
+    asked = rows.filter("rule < 0").select("qid", *[X.quantize(c).alias(q) for c, q in zip(v, S.Q)])
+    found = (search.flat_search(asked, index.refs) if flat_only else search.search(asked, index, params)).select(*search.RESULT)
+    votes = F.coalesce(F.col("votes"), F.col("rule")).cast("int")
+    out = rows.join(found.drop("approved", "fraud_score"), "qid", "left").withColumn("votes", votes)
+    return out.withColumn("approved", R.approved(F.col("votes"))).drop("rule")
+
+
+def validate(spark: SparkSession, settings: S.ValidateSettings) -> tuple[DataFrame, DataFrame | None]:
+    """The whole validation of a saved index on a file of labelled queries (``entries`` as one JSON document, or JSON
+    lines where the path ends in .jsonl): the report, written to ``out_json`` where that is set, and the mismatches
+    with the answers of a repaired search, where they are asked for."""
+    index = ivf.load(spark, settings.index)
+    read = readers.read_entry_lines if settings.queries.rstrip("/").endswith(".jsonl") else readers.read_entries
+    rows = ivf.cut(score_entries(read(spark, settings.queries, settings.limit), index, settings.params, settings.flat_only), "scored")
+    out = report(rows, settings.params, index)
+    if settings.out_json:
+        readers.write_report(out, settings.out_json)
+    if not settings.dump_mismatches:
+        return out, None
+    wrong = mismatches(rows)
+    again = wrong.filter("ok").select("qid", *[X.quantize(F.col(c)).alias(q) for c, q in zip(S.V, S.Q)])
+    repaired = search.search(again, index, replace(settings.params, bbox_mode="always")).select("qid", F.col("votes").alias("repaired_votes"), F.col("approved").alias("repaired_approved"), F.col("scanned_candidates").alias("repaired_candidates"))
+    return out, wrong.join(repaired, "qid", "left")
+
+
 def mismatches(rows: DataFrame) -> DataFrame:
     """The rows whose decision differs from the expected one."""
     return rows.filter(F.col("approved") != F.col("expected_approved"))

@@ -86,22 +86,39 @@ flat_top AS MATERIALIZED (SELECT * FROM (SELECT q.event_id AS qid, r.event_id AS
 {votes('flat', 'flat_top')}"""
 
 
-def tree(depth: int) -> str:
-    """Balanced lists: the widest dimension by exact integer variance, lower half by (value, id)."""
-    out, last = [], "(SELECT *, 0 AS node FROM vec)"
+def tree(depth: int, source: str = "vec", p: str = "") -> str:
+    """Balanced lists: the widest dimension by exact integer variance, lower half by (value, id). ``p`` goes before
+    the names of its tables."""
+    out, last = [], f"(SELECT *, 0 AS node FROM {source})"
     for level in range(depth):
         wide = ", ".join(f"count(*) * sum(cast(q{k} AS hugeint) * q{k}) - sum(cast(q{k} AS hugeint)) * sum(cast(q{k} AS hugeint)) AS w{k}" for k in DIMS)
         best = "greatest(" + ", ".join(f"w{k}" for k in DIMS) + ")"
         pick = "CASE " + " ".join(f"WHEN w{k} = {best} THEN {k}" for k in DIMS) + " END"
         value = "CASE dim " + " ".join(f"WHEN {k} THEN q{k}" for k in DIMS) + " END"
-        src = last if level == 0 else f"t{level}"
-        out.append(f"w{level} AS MATERIALIZED (SELECT node, n, {pick} AS dim FROM (SELECT node, count(*) AS n, {wide} FROM {src} GROUP BY node))")
+        src = last if level == 0 else f"{p}t{level}"
+        out.append(f"{p}w{level} AS MATERIALIZED (SELECT node, n, {pick} AS dim FROM (SELECT node, count(*) AS n, {wide} FROM {src} GROUP BY node))")
         cols = ", ".join(["event_id", "label", *S.V, *S.Q])
         child = f"s.node * 2 + CASE WHEN w.n > 1 AND row_number() OVER (PARTITION BY s.node ORDER BY {value}, event_id) > w.n // 2 THEN 1 ELSE 0 END"
-        out.append(f"t{level + 1} AS MATERIALIZED (SELECT {child} AS node, {cols} FROM {src} s JOIN w{level} w ON s.node = w.node)")
+        out.append(f"{p}t{level + 1} AS MATERIALIZED (SELECT {child} AS node, {cols} FROM {src} s JOIN {p}w{level} w ON s.node = w.node)")
     cents = ", ".join(f"coalesce(cast(sum(cast(v{k} AS double)) * (cast(1 AS double) / count(event_id)) AS float), {f32(0)}) AS c{k}" for k in DIMS)
-    out.append(f"lists AS MATERIALIZED (SELECT node AS list_id, * EXCLUDE (node) FROM t{depth})")
-    out.append(f"cents AS MATERIALIZED (SELECT cast(i AS int) AS list_id, count(event_id) AS n, {cents} FROM range({1 << depth}) r(i) LEFT JOIN lists ON list_id = i GROUP BY i)")
+    out.append(f"{p}lists AS MATERIALIZED (SELECT node AS list_id, * EXCLUDE (node) FROM {p}t{depth})")
+    out.append(f"{p}cents AS MATERIALIZED (SELECT cast(i AS int) AS list_id, count(event_id) AS n, {cents} FROM range({1 << depth}) r(i) LEFT JOIN {p}lists ON list_id = i GROUP BY i)")
+    return ",\n".join(out)
+
+
+def nearest(rows: str, cents: str) -> str:
+    """Each row's nearest centroid, in single precision, dimension by dimension."""
+    gap = " + ".join(f"(l.v{k} - c.c{k}) * (l.v{k} - c.c{k})" for k in DIMS)
+    return f"SELECT * FROM (SELECT l.*, c.list_id, row_number() OVER (PARTITION BY l.event_id ORDER BY {gap}, c.list_id) AS place FROM {rows} l CROSS JOIN {cents} c) WHERE place = 1"
+
+
+def kmeans(nlist_depth: int, sample: int, rounds: int) -> str:
+    """Lloyd's rounds, one after the other, on a stride sample, from balanced lists; an empty list keeps its centroid."""
+    out = [f"few AS MATERIALIZED (SELECT vec.* FROM vec JOIN (SELECT i * n // least(n, {sample}) AS event_id FROM (SELECT count(*) AS n FROM vec), range({sample}) r(i) WHERE i < n) USING (event_id))", tree(nlist_depth, "few", "s_"), "k0 AS MATERIALIZED (SELECT * FROM s_cents)"]
+    for r in range(rounds):
+        mean = ", ".join(f"coalesce(cast(m.c{k} AS float), o.c{k}) AS c{k}" for k in DIMS)
+        sums = ", ".join(f"sum(cast(v{k} AS double)) * (cast(1 AS double) / count(*)) AS c{k}" for k in DIMS)
+        out.append(f"k{r + 1} AS MATERIALIZED (SELECT o.list_id, {mean} FROM k{r} o LEFT JOIN (SELECT list_id, {sums} FROM ({nearest('few', f'k{r}')}) GROUP BY list_id) m ON m.list_id = o.list_id)")
     return ",\n".join(out)
 
 

@@ -287,7 +287,7 @@ def q29(spark, sf_dir):
     return vectors(spark, sf_dir).select("event_id", *[X.bin_clamped(F.col(c), 16).alias(c) for c in S.V])
 
 
-@query("q30_kmeans_assign")
+@query("q30_kmeans_assign", f"{BASE},\n{O.kmeans(4, 2048, 3)} SELECT event_id AS orig_id, list_id FROM ({O.nearest('vec', 'k3')})")
 def q30(spark, sf_dir):
     rows, _ = ivf.kmeans(refs(spark, sf_dir), 16, 2048, 3)
     return rows.select("orig_id", "list_id")
@@ -331,3 +331,25 @@ def q34(spark, sf_dir):
     source = spark.readStream.schema("qid bigint, body string").parquet(f"{root}/in")
     score.score_stream(source, index(spark, sf_dir), f"{root}/out", f"{root}/state", S.SearchParams(2, 4, "always")).awaitTermination()
     return answer(spark.read.parquet(f"{root}/out").drop("batch"))
+
+
+MISFIT = "q.event_id % 100 IN (0, 20)"  # requests without a merchant
+CHECKED = f"{FULL}, e AS MATERIALIZED (SELECT q.event_id AS qid, NOT ({MISFIT}) AS ok, CASE WHEN {MISFIT} THEN 0 ELSE p4.votes END AS votes, q.label = 0 AS expected_approved, q.label * 5 AS expected_votes FROM queries q JOIN p4 ON p4.qid = q.event_id), a AS (SELECT count(*) AS validated, count(*) FILTER ((votes < 3) <> expected_approved) AS mismatches, count(*) FILTER (votes >= 3 AND expected_approved) AS fp, count(*) FILTER (votes < 3 AND NOT expected_approved) AS fn, count(*) FILTER (NOT ok) AS bad, count(*) FILTER (votes <> expected_votes) AS diff FROM e)"
+
+
+@query("q35_validate_files", f"{CHECKED} SELECT cast(32 AS bigint) AS nlist, 'off' AS bbox_mode, validated, mismatches, fp AS false_positive, fn AS false_negative, fp + 3 * fn + 5 * bad AS weighted_errors, bad AS parse_errors, diff AS fraud_count_diff, validated - bad AS expanded, cast(0 AS bigint) AS repaired_clusters, (SELECT cast(sum(c.n) AS double) FROM p4_near x JOIN cents c ON c.list_id = x.list_id JOIN e ON e.qid = x.qid WHERE ok) / validated AS avg_candidates, cast(100 AS double) * mismatches / validated AS mismatch_rate FROM a")
+def q35(spark, sf_dir):
+    """Labelled queries as JSON lines, some malformed, against a saved and reopened index; the report's file is read."""
+    import uuid
+
+    root = f"{ivf.scratch(spark)}/validate-{uuid.uuid4().hex}"
+    index(spark, sf_dir).save(f"{root}/index")
+    label = table(spark, sf_dir).select("event_id", "label")
+    bodies = T.payloads(T.transactions(T.events(spark, sf_dir))).filter(F.col("event_id") % 20 == 0).select("event_id", "body").join(label, "event_id")
+    body = F.when((F.col("event_id") % 100).isin(0, 20), F.replace("body", F.lit('"merchant":'), F.lit('"seller":'))).otherwise(F.col("body"))
+    line = F.concat(F.lit('{"idx":'), F.col("event_id"), F.lit(',"request":'), body, F.lit(',"expected_approved":'), F.when(F.col("label") == 0, "true").otherwise("false"), F.lit(',"expected_fraud_score":'), F.col("label").cast("double"), F.lit("}"))
+    bodies.select(line.alias("value")).write.text(f"{root}/queries.jsonl")
+    settings = S.validate_settings(["--index", f"{root}/index", "--queries", f"{root}/queries.jsonl", "--base-nprobe", "4", "--ambig-nprobe", "4", "--bbox-mode", "off", "--out-json", f"{root}/report"])
+    validate.validate(spark, settings)
+    names = ["validated", "mismatches", "false_positive", "false_negative", "weighted_errors", "parse_errors", "fraud_count_diff", "expanded", "repaired_clusters"]
+    return spark.read.schema(", ".join(["nlist bigint", "bbox_mode string", *[f"{n} bigint" for n in names], "avg_candidates double", "mismatch_rate double"])).json(f"{root}/report")

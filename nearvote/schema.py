@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import argparse
+from dataclasses import dataclass, replace
 
 DIMS = 14
 K = 5
 SCALE = 10000
+# Bounds of the index, of a probe and of the merchants read.
 MOST_LISTS = 16384
 MOST_PROBE = 512
 MOST_KNOWN = 32
@@ -69,6 +71,56 @@ SERVER_DEFAULTS = SearchParams(12, 24)
 VALIDATOR_DEFAULTS = SearchParams(256, 512)
 
 
+@dataclass(frozen=True)
+class BuildSettings:
+    """How an index is built."""
+
+    references: str = ""
+    out: str = ""
+    method: str = "balanced"
+    nlist: int = 8192
+    kmeans_sample: int = 131072
+    kmeans_iters: int = 8
+
+
+@dataclass(frozen=True)
+class ValidateSettings:
+    """How an index is validated. ``limit`` 0 takes all queries."""
+
+    index: str = ""
+    queries: str = ""
+    limit: int = 0
+    flat_only: bool = False
+    dump_mismatches: bool = False
+    out_json: str = ""
+    params: SearchParams = VALIDATOR_DEFAULTS
+
+
+def _flags(args: list[str], known: dict[str, type]) -> dict:
+    """Values of the known ``--flags``; unknown ones are passed over, the last of a repeated one counts."""
+    parser = argparse.ArgumentParser(add_help=False, allow_abbrev=False, argument_default=argparse.SUPPRESS)
+    for name, kind in known.items():
+        flag = "--" + name.replace("_", "-")
+        parser.add_argument(flag, dest=name, **({"action": "store_true"} if kind is bool else {"type": kind}))
+    return vars(parser.parse_known_args(args)[0])
+
+
+def build_settings(args: list[str]) -> BuildSettings:
+    return BuildSettings(**_flags(args, {"references": str, "out": str, "method": str, "nlist": int, "kmeans_sample": int, "kmeans_iters": int}))
+
+
+def validate_settings(args: list[str], base: SearchParams = VALIDATOR_DEFAULTS) -> ValidateSettings:
+    """An unknown box mode counts as ambiguous-only; of the two flags for the exact fallback the last one counts."""
+    got = _flags(args, {"index": str, "queries": str, "limit": int, "flat_only": bool, "dump_mismatches": bool, "out_json": str})
+    how = _flags(args, {"base_nprobe": int, "ambig_nprobe": int, "heuristic_only": bool, "fast_path": bool, "bbox_mode": str})
+    if how.get("bbox_mode", "off") not in BBOX_MODES:
+        how["bbox_mode"] = "ambiguous-only"
+    asked = [a for a in args if a in ("--exact-fallback", "--no-exact-fallback")]
+    if asked:
+        how["exact_fallback"] = asked[-1] == "--exact-fallback"
+    return ValidateSettings(**got, params=replace(base, **how))
+
+
 def params_from_env(env: dict[str, str], base: SearchParams = SERVER_DEFAULTS) -> SearchParams:
     """Parameters from environment settings; what is missing keeps the base's value."""
     flag = lambda name, old: env[name].lower() in ("1", "true", "yes", "on") if name in env else old

@@ -32,11 +32,20 @@ def _references(rows: DataFrame) -> DataFrame:
 
 def read_entries(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """Labelled queries: idx, body (request as JSON), expected_approved, expected_fraud_score; ``limit`` 0 takes all."""
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=True)  # one file is one row; see read_entry_lines
     items = F.from_json("value", "entries array<struct<request: string, expected_approved: boolean, expected_fraud_score: double>>")
     rows = text.select(F.posexplode(items["entries"]).alias("idx", "e"))
-    score = F.coalesce("e.expected_fraud_score", F.when(F.col("e.expected_approved"), 0.0).otherwise(1.0))
-    rows = rows.select(F.col("idx").cast("long").alias("idx"), F.col("e.request").alias("body"), F.col("e.expected_approved").alias("expected_approved"), score.alias("expected_fraud_score"))
+    return _entries(rows.select("idx", "e.*"), limit)
+
+
+def read_entry_lines(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """The same from JSON lines, each an entry with its ``idx``: read by any number of tasks."""
+    return _entries(spark.read.schema("idx bigint, request string, expected_approved boolean, expected_fraud_score double").json(path), limit)
+
+
+def _entries(rows: DataFrame, limit: int) -> DataFrame:
+    score = F.coalesce("expected_fraud_score", F.when(F.col("expected_approved"), 0.0).otherwise(1.0))
+    rows = rows.select(F.col("idx").cast("long").alias("idx"), F.col("request").alias("body"), "expected_approved", score.alias("expected_fraud_score"))
     return rows.orderBy("idx").limit(limit) if limit else rows
 
 
