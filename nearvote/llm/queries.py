@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontam, langid, license_scan, near_dedup, packing, quality, secret_scan, substring_dedup, token_store
+from . import chat, common, decontam, langid, license_scan, near_dedup, oracle, packing, quality, secret_scan, substring_dedup, token_store
+
+
+TRICKY = "\\### Assistant: </turn> ok"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +31,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates(spark))
+    found = license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates(spark))
+    return found.select("doc_id", "template_id", "license", "containment")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +48,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    tricky = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id bigint, turn bigint, role string, text string")
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id bigint, turn bigint, role string, text string")
     rows = common.pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").unionByName(extra)
     blocks, _ = common.stage_table(chat.render(rows, path), "chat")
-    return chat.read_back(blocks, path)
+    return chat.read_back(blocks, path).drop("n_tokens", "loss_tokens")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_store": op10_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": oracle.substrings(),
+    "op4_license_scan": oracle.licenses(),
+    "op6_near_dedup": oracle.near_copies(),
+    "op7_chat": oracle.conversations(TRICKY),
+}
