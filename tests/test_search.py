@@ -186,6 +186,40 @@ def test_entries_and_scores(spark, tmp_path):
     assert fast.count() == 2
 
 
+def test_validation_of_files(spark, tmp_path):
+    """A saved index and both forms of query files; malformed queries weigh five; mismatches come with a repaired search."""
+    data = np.array([[500] * 14] * 5 + [[9500] * 14] * 5, np.int16)
+    refs = frame(spark, data, [0] * 5 + [1] * 5)
+    refs = refs.select("orig_id", "label", *[(F.col(q) / 10000).cast("float").alias(v) for q, v in zip(S.Q, S.V)], *S.Q)
+    ivf.build(refs, 2).save(f"{tmp_path}/index")
+    body = {"transaction": {"amount": 250.0, "installments": 6, "requested_at": "2026-01-05T12:00:00Z"}, "customer": {"avg_amount": 100, "tx_count_24h": 10, "known_merchants": []}, "merchant": {"id": "m", "mcc": "5411", "avg_amount": 40}, "terminal": {"is_online": True, "card_present": False, "km_from_home": 5}, "last_transaction": None}
+    entries = [{"request": body, "expected_approved": k % 2 == 0} for k in range(4)] + [{"request": {}, "expected_approved": False}, {"request": {"transaction": {}}, "expected_approved": True, "expected_fraud_score": 0.2}]
+    (tmp_path / "q.json").write_text(json.dumps({"entries": entries}))
+    (tmp_path / "q.jsonl").write_text("\n".join(json.dumps({"idx": k, **e}) for k, e in enumerate(entries)))
+    got = []
+    for name in ("q.json", "q.jsonl"):
+        for more in ([], ["--flat-only"], ["--heuristic-only"], ["--fast-path"], ["--limit", "2"]):
+            settings = S.validate_settings(["--index", f"file://{tmp_path}/index", "--queries", f"file://{tmp_path}/{name}", "--base-nprobe", "2", "--ambig-nprobe", "2", "--dump-mismatches", "--out-json", f"file://{tmp_path}/out-{name}", *more])
+            report, wrong = validate.validate(spark, settings)
+            r = report.first()
+            assert spark.read.json(f"file://{tmp_path}/out-{name}").first().validated == r.validated == (2 if more[:1] == ["--limit"] else 6)
+            if not more or more == ["--flat-only"]:
+                assert (r.parse_errors, r.mismatches, r.false_negative + r.false_positive) == (2, 3, 3)
+                assert r.weighted_errors == r.false_positive + 3 * r.false_negative + 10 and r.flat == (4 if more else 0)
+                assert wrong.count() == 3 and wrong.filter("ok and repaired_votes is null").count() == 0
+            got.append((tuple(more), r.asDict()))
+    assert got[:5] == got[5:]
+    with pytest.raises(ValueError):
+        validate.validate(spark, S.validate_settings(["--index", f"file://{tmp_path}/none", "--queries", "x"]))
+
+
+def test_settings_from_flags():
+    got = S.validate_settings(["--limit", "7", "--bbox-mode", "odd", "--exact-fallback", "--no-exact-fallback", "--base-nprobe", "3", "--unknown", "--heuristic-only"])
+    assert (got.limit, got.params.bbox_mode, got.params.exact_fallback, got.params.base_nprobe, got.params.ambig_nprobe, got.params.heuristic_only) == (7, "ambiguous-only", False, 3, 512, True)
+    assert S.validate_settings(["--exact-fallback", "--bbox-mode", "always"]).params == S.SearchParams(256, 512, "always", True)
+    assert S.build_settings(["--nlist", "64", "--method", "kmeans", "--kmeans-iters", "2"]) == S.BuildSettings(method="kmeans", nlist=64, kmeans_iters=2)
+
+
 def test_parameters_from_settings():
     p = S.params_from_env({"IVF_NPROBE": "7", "BBOX_MODE": "always", "FAST_PATH": "1"})
     assert (p.base_nprobe, p.ambig_nprobe, p.bbox_mode, p.fast_path) == (7, 24, "always", True)
