@@ -24,6 +24,7 @@ def worker_state(key: object, make: Callable[[], object]) -> object:
     if key not in _state:
         if _state:
             _state.clear()
+            gc.collect()
             trim()
         _state[key] = make()
     return _state[key]
@@ -31,7 +32,6 @@ def worker_state(key: object, make: Callable[[], object]) -> object:
 
 def trim() -> None:
     """Gives freed memory back to the system."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # a C library without it
         ctypes.CDLL(None).malloc_trim(0)
@@ -94,6 +94,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
                     step = make()
                 out = step(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in fields], schema=fields)
+                out = None
+            batch = part = None
+            trim()
 
     return df.mapInArrow(run, schema)
 

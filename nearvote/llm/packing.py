@@ -117,17 +117,18 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> Plan:
     return Plan(capacity, slots, left, windows, stream, steps)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, cache_entries: int = 500_000) -> DataFrame:
     """Packs every document (doc_id, text) into sequences of at most ``capacity`` ids.
 
     Returns a row a piece: doc_id, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit), doc_tokens,
     sequence_id (from 0, gapless), offset, ids (those bytes). Null text is empty and still has its end id. A null
     doc_id stays null. Rows that repeat a doc_id are packed each for itself. An empty table gives no rows. Further
     columns are not read. Ids are made once and written to the shared folder; ranks inside a length come from blocks
-    of rows by hash, so no task holds a length, however common.
+    of rows by hash, so no task holds a length, however common. ``cache_entries`` bounds what a Python worker keeps of
+    encoded chunks, some 400 bytes for each; fewer cost time only.
     """
     spark = docs.sparkSession
-    tokens, _ = common.stage_table(common.map_batches(common.pick(docs, "doc_id", "text"), lambda: _tokenise(tokenizer_path, end_id, capacity), "doc_id bigint, n bigint, ids binary", stateless=False).withColumn("rid", F.monotonically_increasing_id()), "pack-tokens")
+    tokens, _ = common.stage_table(common.map_batches(common.pick(docs, "doc_id", "text"), lambda: _tokenise(tokenizer_path, end_id, cache_entries), "doc_id bigint, n bigint, ids binary", stateless=False).withColumn("rid", F.monotonically_increasing_id()), "pack-tokens")
     light = tokens.select("rid", "n", (F.col("n") % capacity).cast("int").alias("rem"), F.expr(f"n div {capacity}").alias("full"))
     light = light.withColumn("block", common.spread(F.col("rid"), common.shuffle_parts(spark)))
     per = light.groupBy("block", "rem").agg(F.count("*").alias("c"), F.sum("full").alias("f"))
@@ -147,8 +148,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     return common.map_batches(joined, lambda: _cut(plan, bases, capacity), PIECES)
 
 
-def _tokenise(path: str, end_id: int, capacity: int):
-    enc = encoder(path)
+def _tokenise(path: str, end_id: int, cache_entries: int):
+    enc = encoder(path, cache_entries)
     tail = np.uint32(end_id).tobytes()
 
     def step(batch):

@@ -38,7 +38,7 @@ def _single(text: str) -> bool:
     return not any([r in text for r in _RUNS]) and (text.isascii() or not _WIDE_SPACE.search(text))
 
 
-def encoder(path: str, cache_entries: int = 400_000) -> "ChunkEncoder":
+def encoder(path: str, cache_entries: int = 500_000) -> "ChunkEncoder":
     """One encoder a Python worker and file; it goes when the worker's next task needs another."""
     return common.worker_state(("encoder", path, cache_entries), lambda: ChunkEncoder(path, cache_entries))
 
@@ -46,9 +46,9 @@ def encoder(path: str, cache_entries: int = 400_000) -> "ChunkEncoder":
 class ChunkEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes: those of the library with
     ``add_special_tokens=False``. Two generations of at most ``cache_entries`` chunks (of at most 80 characters) are
-    kept, besides those of the batch at hand: some 200 bytes each."""
+    kept, besides those of 256 texts: some 200 bytes each."""
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_entries: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -74,7 +74,7 @@ class ChunkEncoder:
             parts = [texts[k] for k in apart]
             for k in apart:
                 texts[k] = ""
-        out = self._chunked(texts)
+        out = [ids for at in range(0, len(texts), 256) for ids in self._chunked(texts[at : at + 256])]
         if apart:
             for k, ids in zip(apart, self.whole(parts)):
                 out[k] = ids
