@@ -9,15 +9,19 @@ points at which a text is cut here, so the ids of a text are the ids of its chun
 * word level (white space removed): a cut at any space or line feed.
 
 Any other pipeline is encoded text by text, and so is a text that holds the string of an added token, which the
-library turns into that token's id. A word of Latin letters alone is one pre-token and goes straight to the merges;
-other new chunks are encoded by the whole tokenizer.
+library turns into that token's id. A word of Latin letters alone is one pre-token and goes straight to the merges,
+and so is the run of punctuation that ends such a word's chunk; other new chunks are encoded by the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import json
 import re
+import string
 from array import array
+from collections.abc import Iterator
 
 from . import common
 
@@ -38,6 +42,18 @@ def _single(text: str) -> bool:
     return not any([r in text for r in _RUNS]) and (text.isascii() or not _WIDE_SPACE.search(text))
 
 
+@contextlib.contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Pauses the search for reference cycles, which would walk the kept chunks again and again: encoding makes none."""
+    paused = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if paused:
+            gc.enable()
+
+
 def encoder(path: str, cache_entries: int = 500_000) -> "ChunkEncoder":
     """One encoder a Python worker and file; it goes when the worker's next task needs another."""
     return common.worker_state(("encoder", path, cache_entries), lambda: ChunkEncoder(path, cache_entries))
@@ -74,7 +90,8 @@ class ChunkEncoder:
             parts = [texts[k] for k in apart]
             for k in apart:
                 texts[k] = ""
-        out = [ids for at in range(0, len(texts), 256) for ids in self._chunked(texts[at : at + 256])]
+        with _no_cycles():
+            out = [ids for at in range(0, len(texts), 256) for ids in self._chunked(texts[at : at + 256])]
         if apart:
             for k, ids in zip(apart, self.whole(parts)):
                 out[k] = ids
@@ -101,14 +118,17 @@ class ChunkEncoder:
 
 class _Words(dict):
     """Chunks to ids, encoded at their first use. At byte level a chunk stands behind a space, or begins with the line
-    feed that stands in the space's stead. A full stop or comma after a letter is a pre-token of its own."""
+    feed that stands in the space's stead. Punctuation between a letter and the chunk's end is a pre-token of its own."""
+
+    MOST_RUNS = 4096  # runs of punctuation kept
 
     def __init__(self, owner: ChunkEncoder, limit: int):
         super().__init__()
         self.limit, self.old = limit, {}
         self.whole, self.merge = owner.whole, owner.tokenizer.model.tokenize
         self.low, self.lead = owner.mode == "word", " " if owner.mode == "byte" else ""
-        self.points, self.feed = dict(zip(".,", owner.whole([".", ","]))), owner.whole(["\n"])[0]
+        self.space = chr(BYTE_LETTERS[0x20]) if self.lead else ""
+        self.runs, self.feed = {}, owner.whole(["\n"])[0]
 
     def age(self) -> None:
         if len(self) > self.limit:
@@ -128,12 +148,29 @@ class _Words(dict):
         return ids
 
     def _ids(self, lead: str, w: str) -> bytes:
-        core = w[:-1] if w[-1:] in self.points else w
-        if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
-            word = (core.lower() if self.low else lead + core).encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = array("I", [t.id for t in self.merge(word)]).tobytes()
-            return ids if core is w else ids + self.points[w[-1]]
-        return self.whole([lead + w])[0]
+        core = w if w.isalpha() else w.rstrip(string.punctuation)
+        if not core.isalpha() or not core.isascii() and max(core) >= "\u0130":
+            return self.whole([lead + w])[0]
+        if core is w:
+            return self._merged(lead, core)
+        known = self.get(core) or self.old.get(core) if lead == self.lead else None
+        return (known or self._merged(lead, core)) + self._run(w[len(core) :])
+
+    def _merged(self, lead: str, core: str) -> bytes:
+        core = core.lower() if self.low else core
+        if core.isascii():  # letters that stand for themselves
+            word = self.space + core if lead else core
+        else:
+            word = (lead + core).encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.merge(word)]).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            ids = self.whole([run])[0]
+            if len(self.runs) < self.MOST_RUNS and len(run) <= _LONG_CHUNK:
+                self.runs[run] = ids
+        return ids
 
 
 def _mode(spec: dict) -> str:
