@@ -19,6 +19,7 @@ from pyspark.sql.types import _parse_datatype_string
 BLOCK = "list_id int, n int, ids binary, labels binary, data binary"
 TOP = "qid bigint, orig_id bigint, dist bigint, label tinyint, list_id int"
 REF_ROWS, QUERY_ROWS, FLAT_ROWS = 8192, 512, 4096
+SALT_BLOCKS = 16  # reference blocks of a list that share a join key
 
 
 def arrow(schema: str) -> pa.Schema:
@@ -102,12 +103,18 @@ def top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def search_lists(probes: DataFrame, refs: DataFrame, dims: Sequence[str], k: int) -> DataFrame:
+def search_lists(probes: DataFrame, refs: DataFrame, sizes: DataFrame, dims: Sequence[str], k: int) -> DataFrame:
     """Nearest references of each query within its lists. ``probes`` (list_id, qid, dims...), ``refs`` (list_id, orig_id,
-    label, dims...). Rows: qid, orig_id, dist, label, list_id, rank."""
+    label, dims...), ``sizes`` (list_id, n), at most 16384 rows. A long list is split over salts, to each of which its
+    query blocks are copied, so no task holds a list however many rows it has. Rows: qid, orig_id, dist, label,
+    list_id, rank."""
     q = pack(probes, "qid", dims, None, QUERY_ROWS).select("list_id", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     r = pack(refs, "orig_id", dims, "label", REF_ROWS).select("list_id", F.col("ids").alias("r_ids"), F.col("labels").alias("r_labels"), F.col("data").alias("r_data"))
-    return top(_meet(q.join(r, "list_id"), len(dims), k), k)
+    salts = F.broadcast(sizes.select("list_id", F.ceil(F.col("n") / (REF_ROWS * SALT_BLOCKS)).cast("int").alias("salts")).filter("salts > 1"))
+    of_list = F.coalesce("salts", F.lit(1))
+    q = q.join(salts, "list_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), of_list - 1))).drop("salts")
+    r = r.join(salts, "list_id", "left").withColumn("salt", F.pmod(F.xxhash64("r_ids"), of_list).cast("int")).drop("salts")
+    return top(_meet(q.join(r, ["list_id", "salt"]).drop("salt"), len(dims), k), k)
 
 
 def flat(queries: DataFrame, refs: DataFrame, dims: Sequence[str], k: int = 5) -> DataFrame:

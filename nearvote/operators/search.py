@@ -97,13 +97,13 @@ def probe(queries: DataFrame, index: ivf.Index, nprobe: int, repair: bool = Fals
     near = ivf.cut(probes(queries, index, nprobe).select("qid", "list_id", *S.Q), "probes")
     counts = _counts(near, index, "base")
     used = min(max(nprobe, 1), S.MOST_PROBE, index.nlist)
-    top = knn.search_lists(near, index.refs, S.Q, S.K)
+    top = knn.search_lists(near, index.refs, index.centroids, S.Q, S.K)
     if not repair:
         return _answer(top, queries, used, counts, None, False)
     top = ivf.cut(top, "top")
     worst = knn.vote(top, queries, S.K).select("qid", F.col("d5").alias("worst"))
     more = ivf.cut(repair_probes(queries.select("qid", *S.Q).join(worst, "qid"), index, nprobe).select("qid", "list_id", *S.Q), "repair")
-    found = knn.search_lists(more, index.refs, S.Q, S.K)
+    found = knn.search_lists(more, index.refs, index.centroids, S.Q, S.K)
     both = knn.top(top.drop("rank").unionByName(found.drop("rank")), S.K)
     return _answer(both, queries, used, counts, _counts(more, index, "more"), True)
 

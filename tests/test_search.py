@@ -91,6 +91,21 @@ def test_repair_is_exact_at_any_probe(spark):
     assert recall == sorted(recall) and recall[-1] == len(exact)
 
 
+def test_long_lists_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 40, (400, 14))  # many ties
+    refs = frame(spark, data, rng.integers(0, 2, 400))
+    index = ivf.build(refs, 2)
+    queries = refs.filter("orig_id % 7 = 0").withColumnRenamed("orig_id", "qid")
+    exact, probed = answers(search.flat_search(queries, refs)), answers(search.probe(queries, index, 1))
+    monkeypatch.setattr(knn, "REF_ROWS", 8)
+    monkeypatch.setattr(knn, "SALT_BLOCKS", 2)
+    rows = knn.search_lists(search.probes(queries, index, 1), index.refs, index.centroids, S.Q, 5).collect()
+    assert len(rows) == 5 * len(exact) and len({(r.qid, r.orig_id) for r in rows}) == len(rows)
+    assert answers(search.probe(queries, index, 1)) == probed
+    assert answers(search.probe(queries, index, 1, True)) == exact
+
+
 def test_probe_with_fewer_than_five_candidates(spark):
     refs = frame(spark, np.arange(8)[:, None].repeat(14, 1) * 1000, np.ones(8))
     index = ivf.build(refs, 4)
