@@ -85,6 +85,14 @@ def whole_ids(path, text):
     return _made[path][1].encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_punctuation_that_ends_a_word(path):
+    ends = [".", ",", "'", "''", "'s", "'s.", "***", "&&&", "_", "-", "!?\"", "\u0301.", "=\u0338", "1.", " .", "\n!", "<|", "<|>"]
+    some = [f"{a}{w}{e}{b}" for a in ("", "x ", "x\n", "x  ") for w in ("dog", "Éte", "é", "Ǆ", "İ", "") for e in ends for b in ("", " s", "\ns", " 's ll'll")]
+    for _ in range(2):  # from the library, then from what is kept
+        assert [np.frombuffer(x, "<u4").tolist() for x in _encoder(path).encode(some)] == [whole_ids(path, x) for x in some]
+
+
 def test_special_tokens_in_texts():
     assert whole_ids(BYTE, "a <|endoftext|> b") == [64, 220, 50256, 275]
     assert np.frombuffer(_encoder(BYTE).encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
