@@ -19,6 +19,7 @@ from pyspark.sql.types import _parse_datatype_string
 BLOCK = "list_id int, n int, ids binary, labels binary, data binary"
 TOP = "qid bigint, orig_id bigint, dist bigint, label tinyint, list_id int"
 REF_ROWS, QUERY_ROWS, FLAT_ROWS = 8192, 512, 4096
+FIRST_ROWS, NEXT_ROWS = 512, 1024  # references ranked whole, and then against the worst held
 SALT_BLOCKS = 16  # reference blocks of a list that share a join key
 
 
@@ -67,14 +68,30 @@ def pack(rows: DataFrame, id_col: str, dims: Sequence[str], label: str | None, s
 
 
 def least(q: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per query the places of its k nearest references by (distance, place), and their distances."""
+    """Per query the places of its k nearest references by (distance, place), and their distances. The first references
+    give each query a worst distance to beat; what lies beyond it in later ones is abandoned before it is ranked."""
     a, b = q.astype(np.float64), r.astype(np.float64)
-    dist = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-    n = len(r)
-    key = dist.astype(np.int64) * n + np.arange(n)
-    if n > k:
+    own, other, n = (a * a).sum(1), (b * b).sum(1), len(r)
+    first, b = max(k, FIRST_ROWS), np.ascontiguousarray(-2 * b.T)
+    dist = a @ b[:, :first]
+    dist += other[:first]
+    dist += own[:, None]
+    key = dist.astype(np.int64) * n + np.arange(dist.shape[1])
+    if key.shape[1] > k:
         key = np.partition(key, k - 1, axis=1)[:, :k]
     key.sort(axis=1)
+    for at in range(first, n, NEXT_ROWS):
+        dist = a @ b[:, at : at + NEXT_ROWS]
+        dist += other[at : at + NEXT_ROWS]
+        row, col = np.divmod(np.flatnonzero(dist <= (key[:, -1] // n - own)[:, None]), dist.shape[1])
+        if not len(row):
+            continue
+        near = (dist[row, col] + own[row]).astype(np.int64) * n + at + col
+        rows = np.concatenate([np.repeat(np.arange(len(q)), key.shape[1]), row])
+        keys = np.concatenate([key.reshape(-1), near])
+        order = np.lexsort((keys, rows))
+        starts = np.searchsorted(rows[order], np.arange(len(q)))
+        key = keys[order][starts[:, None] + np.arange(key.shape[1])]
     return key % n, key // n
 
 

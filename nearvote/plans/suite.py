@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import features as X
+from ..functions import half
 from ..functions import parse as P
 from ..functions import rules as R
 from ..operators import ivf, knn, search, validate
+from ..sources import readers
 from ..sources import transactions as T
 from . import oracle as O
 
@@ -353,3 +355,122 @@ def q35(spark, sf_dir):
     validate.validate(spark, settings)
     names = ["validated", "mismatches", "false_positive", "false_negative", "weighted_errors", "parse_errors", "fraud_count_diff", "expanded", "repaired_clusters"]
     return spark.read.schema(", ".join(["nlist bigint", "bbox_mode string", *[f"{n} bigint" for n in names], "avg_candidates double", "mismatch_rate double"])).json(f"{root}/report")
+
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    return f"{ivf.scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _as_json(rows: DataFrame) -> DataFrame:
+    """References as their JSON text, with the label's two words."""
+    word = F.when(F.col("label") != 0, "fraud").otherwise("legit")
+    return rows.select("orig_id", F.array(*v()).alias("vector"), word.alias("label"))
+
+
+@query("q36_reference_lines", f"{BASE} SELECT event_id AS orig_id, label, {', '.join(S.Q)} FROM vec")
+def q36(spark, sf_dir):
+    """All references through gzipped JSON lines."""
+    path = _folder(spark, "lines")
+    _as_json(refs(spark, sf_dir)).write.option("compression", "gzip").json(path)
+    return readers.read_reference_lines(spark, path).select("orig_id", "label", *S.Q)
+
+
+def _centroid_q(k: int) -> str:
+    return f"{O.quantize(f'c{k}')} AS q{k}"
+
+
+@query("q37_reference_array", f"{TREE} SELECT cast(list_id AS bigint) AS orig_id, cast(list_id % 2 AS tinyint) AS label, {', '.join(_centroid_q(k) for k in O.DIMS)} FROM cents")
+def q37(spark, sf_dir):
+    """One gzipped JSON array in one file: the centroids, of which there are 16384 at most."""
+    path = _folder(spark, "array")
+    cents = index(spark, sf_dir).centroids.select(F.col("list_id").alias("orig_id"), (F.col("list_id") % 2).alias("label"), *[F.col(f"c{k}").alias(f"v{k}") for k in range(S.DIMS)])
+    items = F.array_sort(F.collect_list(F.struct("orig_id", "vector", "label")))
+    bare = F.transform(items, lambda x: F.struct(x["vector"].alias("vector"), x["label"].alias("label")))
+    _as_json(cents).agg(F.to_json(bare).alias("value")).coalesce(1).write.option("compression", "gzip").text(path)
+    return readers.read_references(spark, path).select("orig_id", "label", *S.Q)
+
+
+@query("q38_entry_limit", f"{BASE} SELECT event_id AS idx, label = 0 AS expected_approved, CASE WHEN event_id % 40 = 0 THEN cast(label AS double) * 0.8 ELSE cast(label AS double) END AS expected_fraud_score, {O.values()} FROM vec WHERE event_id % 20 = 0 ORDER BY event_id LIMIT 300")
+def q38(spark, sf_dir):
+    """The first 300 labelled queries of a file of lines (the reader's limit), parsed; a score left out follows from the
+    expected decision."""
+    path = _folder(spark, "entries")
+    label = table(spark, sf_dir).select("event_id", "label")
+    bodies = T.payloads(T.transactions(T.events(spark, sf_dir))).filter(F.col("event_id") % 20 == 0).select("event_id", "body").join(label, "event_id")
+    given = F.when(F.col("event_id") % 40 == 0, F.concat(F.lit(',"expected_fraud_score":'), (F.col("label") * F.lit(0.8)).cast("double"))).otherwise("")
+    line = F.concat(F.lit('{"idx":'), F.col("event_id"), F.lit(',"request":'), F.col("body"), F.lit(',"expected_approved":'), F.when(F.col("label") == 0, "true").otherwise("false"), given, F.lit("}"))
+    bodies.select(line.alias("value")).write.text(path)
+    return P.parse(readers.read_entry_lines(spark, path, 300)).select("idx", "expected_approved", "expected_fraud_score", *P.request_vector()).select("idx", "expected_approved", "expected_fraud_score", *rounded())
+
+
+@query("q39_saved_lists", f"{TREE} SELECT cast(list_id AS int) AS list_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, cast(sum(label) AS bigint) AS frauds, cast(0 AS bigint) AS out_of_order FROM lists GROUP BY list_id")
+def q39(spark, sf_dir):
+    """A saved index opened, warmed and closed again. Rows out of order: those with a smaller (list, id) than the row
+    before them in their file."""
+    path = _folder(spark, "index")
+    index(spark, sf_dir).save(path)
+    made = ivf.load(spark, path)
+    rows = ivf.warm(made)
+    ivf.close(made)
+    here = Window.partitionBy("file").orderBy("row")
+    key = F.struct("list_id", "orig_id")
+    laid = made.refs.select("list_id", "orig_id", "label", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    bad = laid.withColumn("bad", F.coalesce(key < F.lag(key).over(here), F.lit(False)) | (F.lit(rows) != F.lit(made.refs.count())))
+    return bad.groupBy("list_id").agg(F.count("*").alias("n"), F.min("orig_id").alias("first_id"), F.max("orig_id").alias("last_id"), F.sum("label").cast("long").alias("frauds"), F.sum(F.col("bad").cast("long")).alias("out_of_order"))
+
+
+HALF_SIZE = "CASE WHEN abs({0}) < 0.00006103515625 THEN round_even(abs(cast({0} AS double)) * 16777216, 0) ELSE (floor(log2(abs(cast({0} AS double)))) + 14) * 1024 + round_even(abs(cast({0} AS double)) / pow(2, floor(log2(abs(cast({0} AS double)))) - 10), 0) END"
+HALF = "(cast(CASE WHEN {0} = 0 THEN 0 ELSE " + HALF_SIZE + " END AS int) + CASE WHEN {0} < 0 THEN 32768 ELSE 0 END)"
+
+
+@query("q40_half_bits", f"{BASE} SELECT event_id, {', '.join(f'{HALF.format(c)} AS {c}' for c in S.V)} FROM vec")
+def q40(spark, sf_dir):
+    return table(spark, sf_dir).select("event_id", *[half.to_half(F.col(c)).alias(c) for c in S.V])
+
+
+@query("q41_half_round_trip", f"{BASE} SELECT event_id, greatest({', '.join(f'abs(cast({c} AS double))' for c in S.V)}) <= 1 AS within FROM vec")
+def q41(spark, sf_dir):
+    """Whether each value comes back from its bits within half a step of its size, and within the range of features."""
+    near = lambda c: F.abs(half.from_half(half.to_half(F.col(c))) - F.col(c)) <= F.greatest(F.abs(F.col(c)) / 2048, F.lit(2.0**-25))
+    within = F.lit(True)
+    for c in S.V:
+        within = within & near(c) & (F.abs(F.col(c)) <= 1)
+    return table(spark, sf_dir).select("event_id", within.alias("within"))
+
+
+SQ = " + ".join(f"(cast(q{k} AS bigint) - {O.quantize(f'c{k}')}) * (cast(q{k} AS bigint) - {O.quantize(f'c{k}')})" for k in O.DIMS)
+
+
+@query("q42_distance_to_own_centroid", f"{TREE} SELECT l.event_id, cast(l.list_id AS int) AS list_id, {SQ} AS dist FROM lists l JOIN cents c ON c.list_id = l.list_id")
+def q42(spark, sf_dir):
+    """Fixed-point squared distance of each reference to the centroid of its list; centroids are 16384 at most."""
+    made = index(spark, sf_dir)
+    cents = F.broadcast(made.centroids.select("list_id", *[X.quantize(F.col(f"c{k}")).alias(f"m{k}") for k in range(S.DIMS)]))
+    total = sum((X.sqdiff(F.col(f"q{k}"), F.col(f"m{k}")) for k in range(S.DIMS)), F.lit(0).cast("long"))
+    return made.refs.join(cents, "list_id").select(F.col("orig_id").alias("event_id"), "list_id", total.alias("dist"))
+
+
+def _round_sql(r: int) -> str:
+    gap = " + ".join(f"(cast(l.v{k} AS double) - c.c{k}) * (cast(l.v{k} AS double) - c.c{k})" for k in O.DIMS)
+    moved = " + ".join(f"cast(a.c{k} <> b.c{k} AS int)" for k in O.DIMS)
+    return f"SELECT {r} AS round, (SELECT cast(sum({moved}) AS bigint) FROM k{r} a JOIN k{r + 1} b USING (list_id)) > 0 AS moved, (SELECT round(sum({gap}), 3) FROM ({O.nearest('few', f'k{r}')}) l JOIN k{r} c ON c.list_id = l.list_id) AS inertia"
+
+
+@query("q43_kmeans_rounds", f"{BASE},\n{O.kmeans(4, 2048, 3)} " + " UNION ALL ".join(_round_sql(r) for r in range(3)))
+def q43(spark, sf_dir):
+    """What each of Lloyd's rounds reports."""
+    _, log = ivf.kmeans(refs(spark, sf_dir), 16, 2048, 3)
+    found = [(k, x["moved_dims"] > 0, x["inertia"]) for k, x in enumerate(log)]  # a row a round
+    return spark.createDataFrame(found, "round int, moved boolean, inertia double").withColumn("inertia", F.round("inertia", 3))
+
+
+ALL_MEANS = ", ".join(f"round(cast(coalesce(cast(sum(cast(v{k} AS double)) * (cast(1 AS double) / count(event_id)) AS float), {O.f32(0)}) AS double), 5) AS c{k}" for k in O.DIMS)
+
+
+@query("q44_kmeans_refresh", f"{BASE},\n{O.kmeans(4, 2048, 3)}, every AS MATERIALIZED ({O.nearest('vec', 'k3')}) SELECT cast(i AS int) AS list_id, count(event_id) AS n, {ALL_MEANS} FROM range(16) r(i) LEFT JOIN every ON list_id = i GROUP BY i")
+def q44(spark, sf_dir):
+    """Centroids of a k-means index: the means of all rows of each list, not of the sample that trained it."""
+    made = ivf.build(refs(spark, sf_dir), 16, "kmeans", 2048, 3)
+    return made.centroids.select("list_id", "n", *[F.round(F.col(f"c{k}").cast("double"), 5).alias(f"c{k}") for k in range(S.DIMS)])
