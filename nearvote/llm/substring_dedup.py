@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,14 +191,20 @@ def chunks_of(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _send(chunk: int, names: np.ndarray, docs: list[bytes | None] | np.ndarray, parts: int, bits: int) -> Iterator[dict]:
-    """A row for each range of names the chunk has any of."""
+def _ranges(names: np.ndarray, parts: int, bits: int) -> Iterator[tuple[int, int, int]]:
+    """The ranges that sorted names of ``bits`` bits fall into, each with where its names begin and end."""
     part = (names >> np.uint64(max(0, bits - 32))).astype(np.float64) * parts / float(1 << min(bits, 32))
     part = np.minimum(part.astype(np.int64), parts - 1)
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(names)]
     for a, b in zip(cuts, cuts[1:]):
         if a < b:
-            yield {"part": int(part[a]), "chunk": chunk, "n": b - a, "names": squeeze(names[a:b]), "docs": docs(a, b)}
+            yield int(part[a]), a, b
+
+
+def _send(chunk: int, names: np.ndarray, docs: Callable[[int, int], bytes], parts: int, bits: int) -> Iterator[dict]:
+    """A row for each range of names the chunk has any of."""
+    for part, a, b in _ranges(names, parts, bits):
+        yield {"part": part, "chunk": chunk, "n": b - a, "names": squeeze(names[a:b]), "docs": docs(a, b)}
 
 
 def _bits_back(sent: DataFrame, judge) -> DataFrame:
@@ -292,7 +298,7 @@ def removed(docs: DataFrame, length: int = 50, chunk_bytes: int = 4 << 20, range
     bits = min(64, max(36, math.ceil(math.log2(keys)) + 12))
 
     def sizes_of(names: np.ndarray, wide: int) -> list[int]:
-        return [r["n"] for r in _send(0, names, lambda a, b: None, parts, wide)]
+        return [b - a for _, a, b in _ranges(names, parts, wide)]
 
     def rows(out: list[dict], fields: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(out, schema=fields)
