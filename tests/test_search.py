@@ -39,6 +39,19 @@ def test_kernel_takes_least_by_distance_then_id(nq, nr, seed):
         assert list(zip(dist[k].tolist(), place[k].tolist())) == brute(q[k], r, range(nr), 5)
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 6), st.integers(knn.FIRST_ROWS - 3, knn.FIRST_ROWS + 2 * knn.NEXT_ROWS + 3), st.sampled_from([1, 5, 600]), st.booleans(), st.integers(0, 2**32 - 1))
+def test_kernel_abandons_only_what_is_beyond_the_worst(nq, nr, k, nearer, seed):
+    """More references than are ranked at first, many of them tied, or each nearer than those before it."""
+    rng = np.random.default_rng(seed)
+    q, r = (rng.integers(-3, 4, (n, 4)).astype(np.int16) * 3333 for n in (nq, nr))
+    if nearer:
+        r = np.sort(r, axis=0)[::-1]
+    place, dist = knn.least(q, r, k)
+    for i in range(nq):
+        assert list(zip(dist[i].tolist(), place[i].tolist())) == brute(q[i], r, range(nr), k)
+
+
 def test_flat_with_ties_and_few_rows(spark):
     rng = np.random.default_rng(1)
     data = rng.integers(-1, 2, (300, 14)) * 10000  # many equal vectors
