@@ -52,6 +52,69 @@ def test_kernel_abandons_only_what_is_beyond_the_worst(nq, nr, k, nearer, seed):
         assert list(zip(dist[i].tolist(), place[i].tolist())) == brute(q[i], r, range(nr), k)
 
 
+def test_leaves_beyond_the_worst_are_not_read():
+    """The whole answer from a small part of the references; equal rows are kept k times only, queries with a bound give
+    what is within it."""
+    rng = np.random.default_rng(6)
+    r = np.concatenate([rng.integers(-9999, 9999, (20_000, 3)), np.full((20_000, 3), 77)]).astype(np.int16)
+    q = np.concatenate([r[:40], r[-40:], rng.integers(-9999, 9999, (40, 3)).astype(np.int16)])
+    leaves, seen = knn.Leaves(r, 5), []
+
+    class Spy(list):
+        def __getitem__(self, k):
+            seen.append(k)
+            return super().__getitem__(k)
+
+    assert (leaves.place < len(r)).sum() <= 20_005
+    leaves.back = Spy(leaves.back)
+    row, place, dist = leaves.search(q)
+    assert len(set(seen)) < len(leaves.back) and list(row) == sorted([*range(len(q))] * 5)
+    exact = [brute(x, r, range(len(r)), 5) for x in q]
+    for i in range(len(q)):
+        assert list(zip(dist[row == i].tolist(), place[row == i].tolist())) == exact[i]
+    worst = np.array([x[2][0] for x in exact], np.float64)
+    seen.clear()
+    row, place, dist = leaves.search(q[:1], worst[:1])
+    assert len(seen) < len(leaves.back) // 4
+    row, place, dist = leaves.search(q, worst)
+    for i in range(len(q)):
+        assert sorted(zip(dist[row == i].tolist(), place[row == i].tolist())) == [x for x in exact[i] if x[0] <= worst[i]]
+
+
+def test_flat_over_many_cells(spark, monkeypatch):
+    """More cells than queries need, some without a reference or with less than five, many equal rows."""
+    rng = np.random.default_rng(9)
+    data = np.concatenate([rng.integers(-9999, 9999, (250, 14)), np.full((150, 14), 40)]).astype(np.int16)
+    refs = frame(spark, data, rng.integers(0, 2, len(data)))
+    asked = np.concatenate([data[::9], rng.integers(-9999, 9999, (30, 14)).astype(np.int16)])
+    queries = frame(spark, asked).withColumnRenamed("orig_id", "qid")
+    monkeypatch.setattr(knn, "CELL_ROWS", 6)
+    got = {}
+    for r in knn.flat(queries, refs, S.Q).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.dist, r.orig_id))
+    assert {k: [(d, i) for _, d, i in sorted(x)] for k, x in got.items()} == {k: brute(x, data, range(len(data)), 5) for k, x in enumerate(asked)}
+    far = refs.filter("orig_id >= 248")  # a fitted sample of few values
+    votes = search.flat_search(queries, far).collect()
+    assert len(votes) == len(asked) and {r.d5 for r in votes} == {brute(x, data[248:], range(152), 5)[4][0] for x in asked}
+    assert {r.votes for r in search.flat_search(queries, refs.limit(0)).collect()} == {0}
+
+
+def test_lists_of_many_queries_are_split(spark, monkeypatch):
+    """Queries of a list over several tasks, and a bound on what is wanted."""
+    rng = np.random.default_rng(10)
+    data = rng.integers(0, 30, (300, 14))
+    refs = frame(spark, data, rng.integers(0, 2, 300))
+    index = ivf.build(refs, 2)
+    queries = refs.withColumnRenamed("orig_id", "qid")
+    monkeypatch.setattr(knn, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(knn, "REF_ROWS", 16)
+    exact = {k: brute(x, data, range(300), 5) for k, x in enumerate(data)}
+    assert {k: d for k, (_, d) in answers(search.probe(queries, index, 1, True)).items()} == {k: x[4][0] for k, x in exact.items()}
+    near = search.probes(queries.select("qid", *S.Q), index, 2).withColumn("worst", F.col("qid") % 2 * 2000)
+    got = {(r.qid, r.dist, r.orig_id) for r in knn.search_lists(near, index.refs, index.centroids, S.Q, 5).collect()}
+    assert got == {(k, d, i) for k, x in exact.items() for d, i in x if d <= k % 2 * 2000}
+
+
 def test_flat_with_ties_and_few_rows(spark):
     rng = np.random.default_rng(1)
     data = rng.integers(-1, 2, (300, 14)) * 10000  # many equal vectors
