@@ -38,8 +38,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     paths = (public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    bands = quality.calibrate(docs, table(spark, sf_dir, "labels").filter("quality = 1"), paths)
-    return quality.score(docs, paths, bands)
+    measured, _ = common.stage_table(quality.measure(docs, paths), "quality")
+    return quality.judge(measured, quality.bands(measured, table(spark, sf_dir, "labels").filter("quality = 1")))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -458,6 +458,28 @@ def test_quality_bands_from_labels(spark, empty):
     assert quality.calibrate(empty, labels, PATHS) == {} == quality.calibrate(table(spark, rows), labels.limit(0), PATHS)
 
 
+def test_quality_bands_take_every_good_document(spark):
+    """More good documents than any sample held; one far from the others moves the mean by its share."""
+    rng = random.Random(13)
+    rows = [(k, " ".join(rng.choice(["the", "stone", "river", "quietly", "of"]) + str(rng.randrange(300)) for _ in range(rng.randrange(22, 40)))) for k in range(17_000)]
+    rows.append((17_000, "of " + " ".join(f"{rng.randrange(10**6)}" for _ in range(30_000))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(k,) for k, _ in rows], "doc_id bigint")
+    got = quality.calibrate(docs, labels, PATHS)["latin"]
+    found = [r for r in quality.score(docs, PATHS).collect() if not r.base_failed]
+    assert len(found) > 16_900
+    for v, name in enumerate(("piece", "byte")):
+        n = np.array([r[f"{name}_tokens"] for r in found], np.float64)
+        for m, degree in ((0, 0), (1, 0), (2, 2)):
+            y = np.array([r[f"{name}_{quality.MEASURES[m]}"] for r in found])
+            mean = np.polyfit(np.log2(n), y, degree, w=np.sqrt(n))
+            square = (y - np.polyval(mean, np.log2(n))) ** 2
+            low, high = np.maximum(np.polyfit(1 / n, square, 1, w=np.sqrt(n))[::-1], 1e-6)
+            fit = got[3 * v + m]
+            assert np.allclose(fit.mean, mean[::-1], rtol=1e-6, atol=1e-8) and np.allclose((fit.v, fit.w), (low, high), rtol=1e-4, atol=1e-8)
+    assert quality.calibrate(docs.repartition(7), labels, PATHS)["latin"] == got
+
+
 def test_scripts():
     assert [quality.script_of(t) for t in ("plain", "été", "привет", "ελληνικά", "漢字かな", "नमस्ते", "", "123")] == ["latin", "latin", "cyrillic", "greek", "cjk", "other", "latin", "latin"]
 
