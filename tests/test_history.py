@@ -54,3 +54,11 @@ def test_tables_are_written_with_methods_that_compile(spark):
     with ivf.compiled(spark):
         assert spark.conf.get(ivf.HUGE_METHOD) == "8000"
     assert spark.conf.get(ivf.HUGE_METHOD) == before
+
+
+def test_variances_are_summed_in_longs(spark):
+    rows = spark.createDataFrame([(0, 32767, 1), (0, -32768, 2), (1, 5, 5), (1, 5, 5)], "node int, a short, b short")
+    wide = ivf.widest(rows, "node", ["a", "b"])
+    assert sorted(map(tuple, wide.collect())) == [(0, 2, 0), (1, 2, 0)]
+    aggregates = [line for line in wide._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert aggregates and "decimal" not in aggregates[0]
