@@ -62,3 +62,18 @@ def test_variances_are_summed_in_longs(spark):
     assert sorted(map(tuple, wide.collect())) == [(0, 2, 0), (1, 2, 0)]
     aggregates = [line for line in wide._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
     assert aggregates and "decimal" not in aggregates[0]
+
+
+def test_stream_makes_the_history_once(spark, tmp_path, monkeypatch):
+    """Its requests are written with the feature table, and are those that the table's rows give."""
+    path, made, make = awkward(tmp_path), [], T.transactions
+    monkeypatch.setattr(T, "transactions", lambda ev: made.append(1) or make(ev))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{path}/events.parquet')")
+    got = suite.QUERIES["q34_streaming_score"](spark, path).toPandas().sort_values("qid").reset_index(drop=True)
+    assert len(made) == 1
+    want = con.execute(suite.ORACLE_SQL["q34_streaming_score"]).df().sort_values("qid").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want[got.columns], check_dtype=False, check_exact=True)
+    asked = T.payloads(make(T.events(spark, path))).filter("event_id % 20 = 0")
+    assert sorted(map(tuple, suite.bodies(spark, path).collect())) == sorted(map(tuple, asked.collect()))
+    assert "body" not in suite.table(spark, path).columns

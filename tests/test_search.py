@@ -154,6 +154,34 @@ def test_balanced_lists_with_one_common_value(spark):
     assert sorted(r.list_id for r in tiny.collect()) == [0, 4]
 
 
+def test_tree_against_sorting(spark, monkeypatch):
+    """Nodes sorted and halved by brute force: many ties over blocks of ids, negative ids, and an id on two rows, which
+    stay two. Rows are placed where they are."""
+    rng = np.random.default_rng(12)
+    data = rng.integers(-2, 3, (300, 14)) * 5000
+    ids = rng.permutation(np.arange(-900, 900, 6))
+    rows = frame(spark, data).withColumn("orig_id", F.element_at(F.lit(ids.tolist()), F.col("orig_id").cast("int") + 1))
+    monkeypatch.setattr(ivf, "ID_BLOCK", 32)
+    want = {}
+
+    def halve(some, node, depth):
+        if depth == 0:
+            want.update({int(ids[k]): node for k in some})
+            return
+        x = [[int(v) for v in data[some, d]] for d in range(14)]
+        dim = int(np.argmax([len(v) * sum(a * a for a in v) - sum(v) ** 2 for v in x])) if len(some) else 0
+        order = sorted(some, key=lambda k: (data[k, dim], ids[k]))
+        half = max(len(some) // 2, 1)
+        halve(order[:half], node * 2, depth - 1)
+        halve(order[half:], node * 2 + 1, depth - 1)
+
+    halve(list(range(300)), 0, 5)
+    lists = ivf.balanced_lists(rows, 32)
+    assert {r.orig_id: r.list_id for r in lists.collect()} == want
+    twice = ivf.balanced_lists(rows.unionByName(rows), 4)
+    assert twice.count() == 600 and twice.columns == ["list_id", *rows.columns]
+
+
 def test_repair_is_exact_at_any_probe(spark):
     refs, queries = suite.refs(spark, SF), suite.query_set(suite.table(spark, SF))
     index = suite.index(spark, SF)
