@@ -115,6 +115,40 @@ def test_lists_of_many_queries_are_split(spark, monkeypatch):
     assert got == {(k, d, i) for k, x in exact.items() for d, i in x if d <= k % 2 * 2000}
 
 
+def test_queries_of_a_list_are_searched_together(spark, monkeypatch):
+    """Many blocks of one key in one search, at most ``CHUNK_ROWS`` and a block; the next key by itself."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    data, calls, search_leaves = rng.integers(-9999, 9999, (700, 14)).astype(np.int16), [], knn.Leaves.search
+
+    def spy(self, q, worst=None):
+        calls.append(len(q))
+        return search_leaves(self, q, worst)
+
+    def block(list_id, kind, first, q):
+        ids = np.arange(first, first + len(q))
+        return {"list_id": list_id, "n": len(q), "ids": ids.tobytes(), "labels": np.zeros(len(q), np.int8).tobytes(), "worst": np.full(len(q), np.inf).tobytes(), "data": q.tobytes(), "kind": kind, "salt": 0, "chunk": 0}
+
+    class Held:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(knn.Leaves, "search", spy)
+    asked = rng.integers(-9999, 9999, (10_000, 14)).astype(np.int16)
+    rows = [block(0, 0, 0, data)] + [block(0, 1, a, asked[a : a + 500]) for a in range(0, 10_000, 500)]
+    rows += [block(1, 0, 0, data[:300]), block(1, 1, 10_000, asked[:7])]
+    got = {}
+    for batch in knn._meet(Held(), 14, 5)(iter([pa.RecordBatch.from_pylist(rows[:9]), pa.RecordBatch.from_pylist(rows[9:])])):
+        for r in batch.to_pylist():
+            got.setdefault(r["qid"], []).append((r["dist"], r["orig_id"]))
+    assert calls == [10_000, 7] and len(got) == 10_007
+    for k in range(0, 10_000, 997):
+        assert sorted(got[k]) == brute(asked[k], data, range(700), 5)
+    for k in range(7):
+        assert sorted(got[10_000 + k]) == brute(asked[k], data[:300], range(300), 5)
+
+
 def test_flat_with_ties_and_few_rows(spark):
     rng = np.random.default_rng(1)
     data = rng.integers(-1, 2, (300, 14)) * 10000  # many equal vectors
